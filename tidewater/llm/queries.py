@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.byte_bpe import round_trip
 from tidewater.llm.common import table, tokenizer_path
+from tidewater.llm.simhash import near_duplicates
 from tidewater.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +24,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op3_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
