@@ -8,9 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.byte_bpe import round_trip
 from tidewater.llm.common import table, tokenizer_path
+from tidewater.llm.exact_dedup import exact_duplicates
+from tidewater.llm.line_dedup import line_digests
 from tidewater.llm.simhash import near_duplicates
 from tidewater.llm.token_counts import count_tokens
 
+OP5_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY body)
+"""
+
+OP6_SQL = """
+WITH l AS (
+  SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), k AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), h AS (
+  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+), m AS (
+  SELECT k.*, h.key IS NOT NULL AS dropped FROM k LEFT JOIN h ON k.key = h.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,9 +55,17 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(table(spark, sf_dir, "documents"), least_docs=10, least_chars=1)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_simhash_near_dedup, op5_exact_dedup, op6_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL}
