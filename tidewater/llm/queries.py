@@ -12,6 +12,7 @@ from tidewater.llm.exact_dedup import exact_duplicates
 from tidewater.llm.line_dedup import line_digests
 from tidewater.llm.simhash import near_duplicates
 from tidewater.llm.token_counts import count_tokens
+from tidewater.llm.vp_search import nearest
 
 OP5_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
@@ -38,6 +39,16 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+OP8_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -63,9 +74,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(table(spark, sf_dir, "documents"), least_docs=10, least_chars=1)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, relax=1.25)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_simhash_near_dedup, op5_exact_dedup, op6_line_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_simhash_near_dedup, op5_exact_dedup, op6_line_dedup, op8_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_nearest_neighbours": OP8_SQL}
