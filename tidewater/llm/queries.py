@@ -11,6 +11,7 @@ from tidewater.llm.common import table, tokenizer_path
 from tidewater.llm.exact_dedup import exact_duplicates
 from tidewater.llm.line_dedup import line_digests
 from tidewater.llm.simhash import near_duplicates
+from tidewater.llm.suffix_dedup import repeat_digests
 from tidewater.llm.token_counts import count_tokens
 from tidewater.llm.vp_search import nearest
 
@@ -56,6 +57,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"), length=200)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,7 +85,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_simhash_near_dedup, op5_exact_dedup, op6_line_dedup, op8_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_array_dedup, op3_byte_bpe, op4_simhash_near_dedup, op5_exact_dedup, op6_line_dedup, op8_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
