@@ -1,21 +1,17 @@
 """Removal of lines that many documents share, with DataFrame functions only.
 
-Line hashes of earlier batches lie in sorted runs. A new batch counts its own lines, merge-joins the runs to tell lines
-seen before from new ones, and is added as a run of its own; when a level has FANOUT runs, they are compacted into one of
-the next level, which sums their counts. Runs are never changed, so a lost executor costs no more than the batch at work.
+Line hashes of earlier batches lie in levelled sorted runs (see runs.py). A new batch counts its own lines, merge-anti-joins the
+runs to tell new lines from those seen before, and adds its own run. What the compacted runs count often enough goes.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, partitions_for, row_key, text_of
+from tidewater.llm.common import Scratch, row_key, text_of
+from tidewater.llm.runs import LevelledRuns
 
-#: Runs of a level before they become one of the next level.
-FANOUT = 4
 #: Shared lines that are broadcast at most (16 bytes each); beyond it the join sorts both sides.
 BROADCAST_ROWS = 500_000
 #: The white space that is stripped, and the letters that are lower-cased.
@@ -32,52 +28,11 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")]
 
 
-class LineRuns:
-    """Levelled runs (h1, h2, n, fresh) of line hashes: in n documents of a batch; fresh if no earlier batch had it."""
-
-    def __init__(self, scratch: Scratch, least_chars: int) -> None:
-        self.scratch, self.least_chars, self.made = scratch, least_chars, 0
-        self.levels: list[list[tuple[str, DataFrame]]] = [[]]
-
-    def _run(self, rows: DataFrame, level: int) -> None:
-        name, self.made = f"run-{self.made}", self.made + 1
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append((name, self.scratch.write(rows.sortWithinPartitions("h1", "h2"), name)))
-
-    def runs(self) -> list[DataFrame]:
-        return [df for level in self.levels for _, df in level]
-
-    def add(self, docs: DataFrame, text_col: str) -> None:
-        """Add a batch of documents; each counts once for each of its lines."""
-        keys = F.array_distinct(F.transform(F.split(text_of(text_col), "\n"), line_key))
-        line = docs.select(F.explode(F.filter(keys, lambda k: F.length(k) >= self.least_chars)).alias("key"))
-        batch = line.select(*_hashes(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n"))
-        if earlier := self.runs():
-            seen = reduce(DataFrame.unionByName, earlier).where("fresh").select("h1", "h2")
-            fresh = batch.join(seen.hint("merge"), ["h1", "h2"], "left_anti").withColumn("fresh", F.lit(True))
-            again = batch.join(seen.hint("merge"), ["h1", "h2"], "left_semi").withColumn("fresh", F.lit(False))
-            batch = fresh.unionByName(again)
-        else:
-            batch = batch.withColumn("fresh", F.lit(True))
-        self._run(batch, 0)
-        level = 0
-        while len(self.levels[level]) >= FANOUT:
-            self.compact(level)
-            level += 1
-
-    def compact(self, level: int) -> None:
-        old = self.levels[level]
-        rows = reduce(DataFrame.unionByName, [df for _, df in old])
-        self._run(rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.bool_or("fresh").alias("fresh")), level + 1)
-        self.levels[level] = []
-        for name, _ in old:
-            self.scratch.drop(name)
-
-    def shared(self, least_docs: int) -> DataFrame:
-        """(h1, h2) of the lines in at least so many documents."""
-        rows = reduce(DataFrame.unionByName, self.runs())
-        return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs).select("h1", "h2")
+def line_hashes(docs: DataFrame, text_col: str, least_chars: int) -> DataFrame:
+    """(h1, h2) of the different lines of each document."""
+    keys = F.array_distinct(F.transform(F.split(text_of(text_col), "\n"), line_key))
+    lines = docs.select(F.explode(F.filter(keys, lambda k: F.length(k) >= least_chars)).alias("key"))
+    return lines.select(*_hashes(F.col("key")))
 
 
 def drop_shared_lines(
@@ -91,10 +46,10 @@ def drop_shared_lines(
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
-    runs = LineRuns(scratch, least_chars)
+    runs = LevelledRuns(scratch, ["h1", "h2"])
     for k in range(batches):
-        runs.add(docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)) == k), text_col)
-    shared = scratch.write(runs.shared(least_docs), "shared")
+        runs.add(line_hashes(docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)) == k), text_col, least_chars))
+    shared = scratch.write(runs.at_least(least_docs), "shared")
     small = shared.count() <= BROADCAST_ROWS
 
     lines = docs.select(*row_key(id_col, text_col), F.posexplode(F.split(text_of(text_col), "\n")).alias("at", "line"))

@@ -14,6 +14,7 @@ from tidewater.llm.simhash import near_duplicates
 from tidewater.llm.suffix_dedup import repeat_digests
 from tidewater.llm.token_counts import count_tokens
 from tidewater.llm.vp_search import nearest
+from tidewater.llm.window_dedup import window_digests
 
 OP5_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
@@ -84,8 +85,12 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, relax=1.25)
 
 
+def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_digests(table(spark, sf_dir, "documents"), length=35)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_array_dedup, op3_byte_bpe, op4_simhash_near_dedup, op5_exact_dedup, op6_line_dedup, op8_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_array_dedup, op3_byte_bpe, op4_simhash_near_dedup, op5_exact_dedup, op6_line_dedup, op8_nearest_neighbours, op9_window_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,10 +1,6 @@
 """Removal of repeated substrings by suffix sorting.
 
-Every string of `length` bytes is filed under one place in it, its anchor: the 64-byte sequence with the least hash. Equal
-strings have the same anchor at the same offset, so only occurrences with an anchor that occurs twice need sorting, and a run
-of neighbouring strings with one anchor is handled as one context: the bytes from the run's first start to its last end.
-
-The contexts of an anchor are suffix-sorted to the right of it, and to the left (reversed), by deep-shallow sorting:
+Strings are found by anchors of 64 bytes, and only the contexts of anchors that occur twice need sorting (see repeats.py). The contexts of an anchor are suffix-sorted to the right of it, and to the left (reversed), by deep-shallow sorting:
 multikey quicksort over 8-byte symbols to a shallow depth, then a blind trie for each group that still ties. Neighbours' common
 prefixes tell which contexts agree on r bytes to the right and on l to the left: the string that begins l bytes before the
 anchor repeats if another context agrees on l bytes left and `length` - l right.
@@ -14,97 +10,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import partitions_for, row_key, text_of
-
-#: Bytes of an anchor; bytes that are hashed at a time; the shallow depth; contexts that are sorted at a time.
-ANCHOR, CHUNK, SHALLOW, TOGETHER = 64, 1 << 22, 16, 40_000
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-
-
-# -- anchors ----------------------------------------------------------------------------------------------------------
-
-
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random value of each byte; powers of the multiplier and of its inverse, modulo 2^64."""
-    values = np.random.default_rng(42).integers(0, 1 << 64, 256, dtype=np.uint64)
-    inverse = pow(_MULTIPLIER, -1, 1 << 64)
-    step = np.full(CHUNK + 1, _MULTIPLIER, np.uint64), np.full(CHUNK + 1, inverse, np.uint64)
-    step[0][0] = step[1][0] = 1
-    return values, np.cumprod(step[0], dtype=np.uint64), np.cumprod(step[1], dtype=np.uint64)
-
-
-def _window_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each `width` bytes."""
-    values, powers, inverses = _powers()
-    sums = np.zeros(data.size + 1, np.uint64)
-    np.cumsum(values[data] * powers[: data.size], out=sums[1:])
-    out = sums[width:] - sums[:-width]
-    out *= inverses[: out.size]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(29)
-    return out
-
-
-def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    count = values.size - width + 1
-    rows = -(-values.size // width)
-    padded = np.full(rows * width, np.iinfo(values.dtype).max, values.dtype)
-    padded[: values.size] = values
-    table = padded.reshape(rows, width)
-    after = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-    before = np.minimum.accumulate(table, axis=1).ravel()
-    return np.minimum(after[:count], before[width - 1 : width - 1 + count])
-
+from tidewater.llm.repeats import Runs, anchors_of, keyed_documents, pieces, placed_runs, powers, removed_runs, spans_of, with_spans
 
-def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(text, offset, bytes) that together fill a chunk; a longer text is several pieces that overlap by a string less a byte."""
-    group, size = [], 0
-    for i, text in enumerate(texts):
-        if len(text) < length:
-            continue
-        for at in range(0, max(1, len(text) - length + 1), CHUNK - length + 1):
-            piece = text[at : at + CHUNK]
-            if size + len(piece) > CHUNK:
-                yield group
-                group, size = [], 0
-            group.append((i, at, piece))
-            size += len(piece)
-    if group:
-        yield group
-
-
-def find_anchors(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, anchor hash, place): runs of strings that share an anchor. place: first start << 16 | offset << 8 | more starts."""
-    for group in _pieces(texts, length):
-        data = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
-        sizes = np.array([len(p) for _, _, p in group])
-        begins = np.cumsum(sizes) - sizes
-        hashes = _window_hashes(data, ANCHOR)
-        # the place in the low bits: of equal hashes the leftmost counts
-        tagged = (hashes >> np.uint64(22) << np.uint64(22)) | np.arange(hashes.size, dtype=np.uint64)
-        least = _sliding_least(tagged, length - ANCHOR + 1)
-        many = sizes - length + 1
-        piece = np.repeat(np.arange(len(group)), many)
-        start = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + begins[piece]
-        least = least[start]
-        first = np.ones(start.size, bool)
-        first[1:] = (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])
-        runs = np.flatnonzero(first)
-        more = np.diff(np.append(runs, start.size)) - 1
-        anchor = (least[runs] & np.uint64(CHUNK - 1)).astype(np.int64)
-        owner = piece[runs]
-        shift = np.array([at for _, at, _ in group]) - begins
-        place = (start[runs] + shift[owner]) << 16 | (anchor - start[runs]) << 8 | more
-        yield np.array([i for i, _, _ in group])[owner], hashes[anchor].view(np.int64), place
+#: Bytes of an anchor; the shallow depth.
+ANCHOR, SHALLOW = 64, 16
 
 
 # -- deep-shallow sorting -----------------------------------------------------------------------------------------------
@@ -253,136 +168,23 @@ def repeated_starts(contexts: list[bytes], anchor: np.ndarray, offset: np.ndarra
     return found
 
 
-def _ranges(found: np.ndarray, anchor_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first start, last start) of the runs of repeated starts."""
-    edge = np.diff(np.pad(found[:, ::-1].astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, begin = np.nonzero(edge == 1)
-    _, end = np.nonzero(edge == -1)
-    last = found.shape[1] - 1
-    return row, anchor_at[row] - last + begin, anchor_at[row] - last + end - 1
-
-
 # -- Spark ----------------------------------------------------------------------------------------------------------------
 
 
-def repeated_ranges(docs: DataFrame, *, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
-    """The documents as (k1, k2, body, row), and (k1, k2, spans): first and last starts of repeated strings.
+def find_anchors(texts: list[bytes], length: int) -> Runs:
+    """Runs of strings of `length` bytes that share an anchor."""
+    for group in pieces([len(t) for t in texts], length):
+        data = np.frombuffer(b"".join([texts[i][a:b] for i, a, b in group]), np.uint8)
+        yield placed_runs(group, powers()[0][data], ANCHOR, length)
 
-    row is a struct of all columns of the input row. All is one plan; the documents are dealt out by their keys once.
-    """
-    if not ANCHOR < length <= ANCHOR + 255:
-        raise ValueError(f"a length between {ANCHOR + 1} and {ANCHOR + 255} is needed")
-    spark = docs.sparkSession
-    parts = partitions_for(spark)
-
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [batch.column(k).to_numpy() for k in range(2)]
-            for owner, anchor, place in find_anchors(batch.column(2).cast(pa.binary()).to_pylist(), length):
-                arrays = [pa.array(anchor), pa.array(keys[0][owner]), pa.array(keys[1][owner]), pa.array(place)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "k1", "k2", "place"])
-
-    keyed = docs.select(*row_key(id_col, text_col), text_of(text_col).alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"))
-    anchors = keyed.select("k1", "k2", "body").mapInArrow(anchored, "anchor long, k1 long, k2 long, place long")
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = anchors.join(twice.hint("merge"), "anchor", "left_semi")
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "place")).alias("anchors"))
-    both = keyed.repartition(parts, "k1", "k2")
-
-    schema = "anchor long, k1 long, k2 long, place long, many boolean, context binary"
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            """Contexts that occur twice here are settled; one of them goes on, so that others can find it."""
-            texts = [h[4] for h in held]
-            order, prefix = deep_shallow(texts, np.zeros(len(held), np.int8))
-            lengths = np.fromiter(map(len, texts), np.int64, len(texts))[order]
-            same = np.append(False, (prefix[1:] == lengths[1:]) & (lengths[1:] == lengths[:-1]))
-            many = same | np.append(same[1:], False)
-            for pick, flag in ((np.flatnonzero(~same), None), (np.flatnonzero(many), True)):
-                rows = [held[i] for i in order[pick].tolist()]
-                settled = flag is not None
-                arrays = [
-                    pa.array([r[1] ^ r[2] if settled else r[0] for r in rows], pa.int64()),
-                    *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)),
-                    pa.array(many[pick]),
-                    pa.array([None] * len(rows) if settled else [r[4] for r in rows], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "k1", "k2", "place", "many", "context"])
-            held.clear()
-
-        for batch in batches:
-            k1, k2 = (batch.column(k).to_pylist() for k in range(2))
-            bodies = batch.column(2).cast(pa.binary())
-            lists_ = batch.column(3)
-            offsets = lists_.offsets.to_numpy() - lists_.offsets[0].as_py()
-            flat = lists_.flatten()
-            anchor, place = flat.field(0).to_numpy().tolist(), flat.field(1).to_numpy().tolist()
-            for i in range(batch.num_rows):
-                body = bodies[i].as_py()
-                for a, p in zip(anchor[offsets[i] : offsets[i + 1]], place[offsets[i] : offsets[i + 1]]):
-                    start = p >> 16
-                    held.append((a, k1[i], k2[i], p, body[start : start + (p & 255) + length]))
-                if len(held) >= TOGETHER:
-                    yield from out()
-        if held:
-            yield from out()
-
-    asked = both.join(lists, ["k1", "k2"]).select("k1", "k2", "body", "anchors")
-    found = asked.mapInArrow(contexts, schema).repartition(parts, "anchor").sortWithinPartitions("anchor")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-
-        def out(t: pa.Table) -> pa.RecordBatch:
-            k1, k2, place = (t.column(k).to_numpy() for k in (1, 2, 3))
-            open_ = t.column(5).is_valid().to_numpy()
-            done = ~open_
-            first = [place[done] >> 16]
-            last = [first[0] + (place[done] & 255)]
-            owner = [np.flatnonzero(done)]
-            # an anchor that only one context has can't settle anything
-            anchor = t.column(0).to_numpy()
-            rows = np.flatnonzero(open_)
-            if rows.size:
-                own = anchor[rows]
-                twin = np.append(False, own[1:] == own[:-1])
-                rows = rows[twin | np.append(twin[1:], False)]
-            if rows.size:
-                offset, more = place[rows] >> 8 & 255, place[rows] & 255
-                texts = t.column(5).take(pa.array(rows)).to_pylist()
-                hit = repeated_starts(texts, anchor[rows], offset, more, t.column(4).to_numpy()[rows], length)
-                row, a, b = _ranges(hit, (place[rows] >> 16) + offset)
-                first.append(a), last.append(b), owner.append(rows[row])
-            who = np.concatenate(owner)
-            arrays = [k1[who], k2[who], np.concatenate(first), np.concatenate(last)]
-            return pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["k1", "k2", "first", "last"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            waiting.append(batch)
-            if sum(b.num_rows for b in waiting) < TOGETHER or waiting[0].column(0)[0] == batch.column(0)[-1]:
-                continue
-            t = pa.Table.from_batches(waiting).combine_chunks()
-            cut = int(np.searchsorted(t.column(0).to_numpy(), t.column(0)[-1].as_py()))  # the last anchor may go on
-            yield out(t.slice(0, cut))
-            waiting = t.slice(cut).to_batches()
-        if waiting:
-            yield out(pa.Table.from_batches(waiting).combine_chunks())
-
-    ranges = found.mapInArrow(compared, "k1 long, k2 long, first long, last long")
-    return both, ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-
-
-def removed_runs(spans: np.ndarray, length: int) -> np.ndarray:
-    """Maximal runs of covered bytes (begin, end) of an array of first and last starts."""
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    ends = np.maximum.accumulate(spans[:, 1] + length)
-    opens = np.append(True, spans[1:, 0] > ends[:-1])
-    return np.column_stack([spans[opens, 0], ends[np.append(np.flatnonzero(opens)[1:] - 1, len(spans) - 1)]])
+def same_strings(texts: list[bytes]) -> np.ndarray:
+    """Equal numbers for equal strings, by sorting them."""
+    order, prefix = deep_shallow(texts, np.zeros(len(texts), np.int8))
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))[order]
+    out = np.empty(len(texts), np.int64)
+    out[order] = np.cumsum(np.append(True, (prefix[1:] != lengths[1:]) | (lengths[1:] != lengths[:-1])))
+    return out
 
 
 def _cut(body: bytes, runs: np.ndarray) -> bytes:
@@ -407,15 +209,14 @@ def _to_characters(body: bytes, runs: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _spans_of(batch: pa.RecordBatch) -> Iterator[np.ndarray | None]:
-    column = batch.column(batch.schema.get_field_index("spans"))
-    for value in column:
-        yield np.column_stack([value.values.field(k).to_numpy() for k in range(2)]) if value.is_valid and len(value.values) else None
-
-
 def _joined(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    both, spans = repeated_ranges(docs, id_col=id_col, text_col=text_col, length=length)
-    return both.join(spans, ["k1", "k2"], "left")
+    if not ANCHOR < length <= ANCHOR + 255:
+        raise ValueError(f"a length between {ANCHOR + 1} and {ANCHOR + 255} is needed")
+    keyed = keyed_documents(docs, id_col, text_col)
+    anchors = anchors_of(keyed, lambda texts: find_anchors(texts, length))
+    twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    cut = lambda body: lambda start, n: body[start : start + n]
+    return with_spans(keyed, anchors, twice, contexts_of=cut, same_contexts=same_strings, repeated=repeated_starts, length=length)
 
 
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
@@ -430,7 +231,7 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for body, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), _spans_of(batch)):
+            for body, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), spans_of(batch)):
                 kept.append(body if spans is None else _cut(body, _to_characters(body, removed_runs(spans, length))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string())], names=["row", "kept_text"])
 
@@ -450,7 +251,7 @@ def repeat_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, runs_, digests = [], [], [], []
-            for body, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), _spans_of(batch)):
+            for body, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), spans_of(batch)):
                 runs = np.empty((0, 2), np.int64) if spans is None else removed_runs(spans, length)
                 sizes.append(len(body))
                 removed.append(int((runs[:, 1] - runs[:, 0]).sum()))
