@@ -10,6 +10,7 @@ from tidewater.llm.byte_bpe import round_trip
 from tidewater.llm.common import table, tokenizer_path
 from tidewater.llm.exact_dedup import exact_duplicates
 from tidewater.llm.line_dedup import line_digests
+from tidewater.llm.packing import pack_documents
 from tidewater.llm.simhash import near_duplicates
 from tidewater.llm.suffix_dedup import repeat_digests
 from tidewater.llm.token_counts import count_tokens
@@ -89,8 +90,12 @@ def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_digests(table(spark, sf_dir, "documents"), length=35)
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_array_dedup, op3_byte_bpe, op4_simhash_near_dedup, op5_exact_dedup, op6_line_dedup, op8_nearest_neighbours, op9_window_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_array_dedup, op3_byte_bpe, op4_simhash_near_dedup, op5_exact_dedup, op6_line_dedup, op8_nearest_neighbours, op9_window_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -88,6 +88,7 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.known: dict[str, int] = {}
+        self.known_ids: dict[str, bytes] = {}
 
     # -- rank-synchronous merging -------------------------------------------------------------------------------
 
@@ -187,14 +188,31 @@ class WordBpe:
         return (sums[ends] - sums[ends - np.array(spread, np.int64)]).tolist()
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        for text in texts:
+        for packed in self.packed_ids(texts):
+            yield np.frombuffer(packed, "<u4")
+
+    def packed_ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        known = self.known_ids
+        stretches = [list(self.segments(text or "")) for text in texts]
+        fresh = {w for parts in stretches for words, _ in parts for w in words if w not in known}
+        if len(known) + len(fresh) > MEMORY:
+            known.clear()
+            fresh = {w for parts in stretches for words, _ in parts for w in words}
+        fresh = list(fresh)
+        for at in range(0, len(fresh), 200_000):
+            some = fresh[at : at + 200_000]
+            ids, many = self.merge(some)
+            data = ids.astype("<u4").tobytes()
+            ends = (4 * np.cumsum(many)).tolist()
+            known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends)]))
+        for parts in stretches:
             out = []
-            for words, special in self.segments(text or ""):
-                if words:
-                    out.append(self.merge(words)[0])
+            for words, special in parts:
+                out += map(known.__getitem__, words)
                 if special is not None:
-                    out.append(np.array([special], np.int32))
-            yield np.concatenate(out) if out else np.empty(0, np.int32)
+                    out.append(special.to_bytes(4, "little"))
+            yield b"".join(out)
 
 
 def cut_at_space(text: str, size: int) -> Iterator[str]:
