@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import Scratch, partitions_for, slices, text_of
 from tidewater.llm.token_counts import word_bpe
 
-#: Groups that large lengths are rounded to, and how many large pieces fit into a sequence at most.
-GROUPS, LARGE_PER_SEQUENCE = 24, 8
+#: Settings that are tried; the one with the fewest sequences counts: how many of the large pieces fit into a sequence at most,
+#: and the groups that their lengths are rounded to.
+SETTINGS = ((2, 24), (4, 48), (4, 96), (8, 24))
 
 
 # -- packing a histogram ----------------------------------------------------------------------------------------------
@@ -125,21 +126,25 @@ def _knapsack(sizes: list[int], price: np.ndarray, capacity: int) -> tuple[float
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> Packing:
     """Slots for so many pieces of each length (capacity at most)."""
+    return min((_grouped(histogram, capacity, *setting) for setting in SETTINGS), key=lambda p: p.sequences)
+
+
+def _grouped(histogram: dict[int, int], capacity: int, large_per_sequence: int, count: int) -> Packing:
     packing = Packing(capacity)
     left = dict(histogram)
     full = left.pop(capacity, 0)
     if full:
         packing.put(capacity, capacity, packing.new(full), full)
-    large = sorted((x for x in left if x * LARGE_PER_SEQUENCE > capacity), reverse=True)
+    large = sorted((x for x in left if x * large_per_sequence > capacity), reverse=True)
     total = sum(left[x] for x in large)
-    if total >= GROUPS:
-        groups: list[list[list[int]]] = [[] for _ in range(GROUPS)]  # [length, pieces], largest first
+    if total >= count:
+        groups: list[list[list[int]]] = [[] for _ in range(count)]  # [length, pieces], largest first
         seen = 0
         for x in large:
             many = left[x]
             while many:
-                g = min(GROUPS - 1, seen * GROUPS // total)
-                some = many if g == GROUPS - 1 else min(many, -(-total * (g + 1) // GROUPS) - seen)
+                g = min(count - 1, seen * count // total)
+                some = many if g == count - 1 else min(many, -(-total * (g + 1) // count) - seen)
                 groups[g].append([x, some])
                 seen, many = seen + some, many - some
         groups = [g for g in groups if g]
