@@ -178,7 +178,7 @@ def with_spans(
         for batch in batches:
             k1, k2 = (batch.column(k).to_pylist() for k in range(2))
             bodies = batch.column(2).cast(pa.binary())
-            lists_ = batch.column(3)
+            lists_ = batch.column(4)
             offsets = lists_.offsets.to_numpy() - lists_.offsets[0].as_py()
             flat = lists_.flatten()
             anchor, place = flat.field(0).to_numpy().tolist(), flat.field(1).to_numpy().tolist()
@@ -191,7 +191,8 @@ def with_spans(
         if held:
             yield from out()
 
-    asked = both.join(lists, ["k1", "k2"]).select("k1", "k2", "body", "anchors")
+    # row isn't needed here, but with it both joins read the same exchange of the documents
+    asked = both.join(lists, ["k1", "k2"]).select("k1", "k2", "body", "row", "anchors")
     found = asked.mapInArrow(contexts, schema).repartition(parts, "anchor").sortWithinPartitions("anchor")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -245,7 +245,7 @@ def repeat_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     strings are judged on the input. A null text is empty. Each row is a document, even if ids are null or repeated: a
     repeated row repeats all its strings. An empty table gives no rows; other columns are left out.
     """
-    joined = _joined(docs, id_col, text_col, length).select(F.col("row").getField(id_col).alias("id"), "body", "spans")
+    joined = _joined(docs.select(id_col, text_col), id_col, text_col, length).select("row", "body", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +257,8 @@ def repeat_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 removed.append(int((runs[:, 1] - runs[:, 0]).sum()))
                 runs_.append(len(runs))
                 digests.append(hashlib.sha256(_cut(body, runs)).hexdigest())
-            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs_)), pa.array(digests, pa.string())]
+            ids = batch.column(0).field(batch.column(0).type.get_field_index(id_col))
+            arrays = [ids, *(pa.array(x, pa.int64()) for x in (sizes, removed, runs_)), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return joined.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
