@@ -14,6 +14,7 @@ from tidewater.llm.packing import pack_documents
 from tidewater.llm.simhash import near_duplicates
 from tidewater.llm.suffix_dedup import repeat_digests
 from tidewater.llm.token_counts import count_tokens
+from tidewater.llm.toxicity import label_categories, toxicity, train_on
 from tidewater.llm.vp_search import nearest
 from tidewater.llm.window_dedup import window_digests
 
@@ -81,6 +82,17 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(table(spark, sf_dir, "documents"), least_docs=10, least_chars=1)
 
 
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    docs = docs.select("doc_id", "lang", "text")
+    return train_on(docs, labels, label_categories(labels, docs))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, toxicity_chain(spark, docs, sf_dir))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, relax=1.25)
@@ -95,7 +107,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_array_dedup, op3_byte_bpe, op4_simhash_near_dedup, op5_exact_dedup, op6_line_dedup, op8_nearest_neighbours, op9_window_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_array_dedup, op3_byte_bpe, op4_simhash_near_dedup, op5_exact_dedup, op6_line_dedup, op7_toxicity, op8_nearest_neighbours, op9_window_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,18 +8,17 @@ merge-joined with the sorted runs of earlier batches and with themselves, added
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import Scratch
-from tidewater.llm.repeats import CHUNK, Runs, anchors_of, keyed_documents, pieces, placed_runs, powers, removed_runs, spans_of, with_spans
+from tidewater.llm.repeats import CHUNK, Runs, anchors_of, keyed_documents, pieces, placed_runs, removed_runs, spans_of, with_spans
 from tidewater.llm.runs import LevelledRuns
+from tidewater.llm.words import SPACES, word_hashes
 
 #: Words of an anchor.
 WIDTH = 8
@@ -28,70 +27,12 @@ WIDTH = 8
 # -- fingerprints -----------------------------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=1)
-def _is_space() -> np.ndarray:
-    table = np.zeros(256, bool)
-    table[[0x20, *range(0x09, 0x0E)]] = True
-    return table
-
-
-def _segments(text: bytes) -> Iterator[bytes]:
-    """Parts of a text that end between words, of less than CHUNK bytes unless one word is longer."""
-    at = 0
-    while len(text) - at >= CHUNK:
-        space = np.flatnonzero(_is_space()[np.frombuffer(text, np.uint8, CHUNK - 1, at)])
-        end = at + int(space[-1]) + 1 if space.size else -1
-        if end < 0:
-            rest = text[at:].split(None, 1)
-            end = len(text) - len(rest[1]) if len(rest) > 1 else len(text)
-        yield text[at:end]
-        at = end
-    yield text[at:]
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in a row, and how many each text has."""
-    hashes, counts = [], np.zeros(len(texts), np.int64)
-    held: list[tuple[int, bytes]] = []
-
-    def settle() -> None:
-        values, power, inverse = powers()
-        data = np.frombuffer(b" ".join([s for _, s in held]), np.uint8)
-        word = np.diff(np.pad(~_is_space()[data], 1).astype(np.int8))
-        begin, end = np.flatnonzero(word == 1), np.flatnonzero(word == -1)
-        sums = np.zeros(data.size + 1, np.uint64)
-        np.cumsum(values[data] * power[: data.size], out=sums[1:])
-        found = (sums[end] - sums[begin]) * inverse[begin]
-        found ^= found >> np.uint64(31)
-        found *= np.uint64(0x94D049BB133111EB)
-        hashes.append(found ^ found >> np.uint64(29))
-        bounds = np.cumsum([len(s) + 1 for _, s in held])
-        np.add.at(counts, np.array([i for i, _ in held])[np.searchsorted(bounds, begin, "right")], 1)
-        held.clear()
-
-    size = 0
-    for i, text in enumerate(texts):
-        for part in _segments(text):
-            if size + len(part) + 1 > CHUNK and held:
-                settle()
-                size = 0
-            if len(part) >= CHUNK:  # one word
-                hashes.append(np.array([xxhash.xxh64_intdigest(w) for w in part.split()], np.uint64))
-                counts[i] += len(part.split())
-                continue
-            held.append((i, part))
-            size += len(part) + 1
-    if held:
-        settle()
-    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), counts
-
-
 def find_windows(texts: list[bytes], length: int) -> Runs:
     """Runs of windows of `length` words that share an anchor."""
     at, size = 0, 0
     for i in range(len(texts) + 1):
         if i == len(texts) or (size and size + len(texts[i]) > CHUNK):
-            values, counts = word_hashes(texts[at:i])
+            (values,), counts = word_hashes(texts[at:i], SPACES)
             begins = np.cumsum(counts) - counts
             for group in pieces(counts.tolist(), length):
                 some = np.concatenate([values[begins[k] + a : begins[k] + b] for k, a, b in group])
