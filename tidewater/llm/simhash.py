@@ -16,10 +16,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, partitions_for, slices, text_of
+from tidewater.llm.common import Scratch, partitions_for, row_key, slices, text_of
 from tidewater.llm.components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -51,14 +51,15 @@ def fingerprint(text: str, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, fp long) of each document."""
+    """(id, k1, k2, fp long) of each document; k1 and k2 tell rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
             found = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found)], names=["id", "k1", "k2", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), *row_key(id_col, text_col), text_of(text_col).alias("text"))
+    return given.mapInArrow(run, "id long, k1 long, k2 long, fp long")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -242,6 +243,17 @@ def links(distinct: DataFrame, distance: int, parts: int) -> DataFrame:
     return buckets.mapInArrow(compared, "a long, b long").distinct()
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all documents, and (fp, least, root) of the different ones; a component has one root."""
+    every = scratch.write(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    # ids count before null ids, and of rows with one id the text's hash decides
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("least")
+    distinct = every.groupBy("fp").agg(first)
+    roots = components(links(distinct.select("fp"), distance, partitions_for(docs.sparkSession)), scratch)
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return every, named
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, scratch: Scratch | None = None
 ) -> DataFrame:
@@ -252,14 +264,22 @@ def near_duplicates(
     component of its fingerprint (null if all ids there are null); repeated rows each give a row; an empty table gives
     none. Other columns of `docs` are left out, so their names can't clash.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "simhash")
-    parts = partitions_for(spark)
-    every = scratch.write(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = every.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(distinct, distance, parts), scratch)
-    linked = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    moved = linked.join(least, "root").select("fp", "component")
-    named = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return every.join(named, "fp").select(F.col("id").alias(id_col), hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+    every, named = _components(docs, id_col, text_col, words, distance, scratch or Scratch(docs.sparkSession, "simhash"))
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    found = named.select("fp", "root").join(least, "root").select("fp", F.col("first.id").alias("component_id"))
+    return every.join(found, "fp").select(F.col("id").alias(id_col), hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, scratch: Scratch | None = None
+) -> DataFrame:
+    """(row) of the documents that stay, one of each component: the one with the smallest id.
+
+    row is a struct of all columns of the input row. A row with a null id stays only if its component has no other; of
+    equal rows one stays.
+    """
+    _, named = _components(docs, id_col, text_col, words, distance, scratch or Scratch(docs.sparkSession, "simhash"))
+    stay = named.groupBy("root").agg(F.min("least").alias("first")).select("first.k1", "first.k2")
+    whole = docs.select(*row_key(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = Window.partitionBy("k1", "k2").orderBy("k1")  # needs no exchange after the join
+    return whole.join(stay.hint("merge"), ["k1", "k2"]).withColumn("same", F.row_number().over(same)).where("same = 1").select("row")
