@@ -23,3 +23,17 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, path.relative_to(_PACKAGE.parent))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def checkpointed(df):
+    """A DataFrame cut from its lineage, in the folder of spark.checkpoint.dir; a local session without one gets a temporary one."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            where = "file://" + tempfile.mkdtemp(prefix="tidewater-")
+        context.setCheckpointDir(where)
+    return df.checkpoint()
