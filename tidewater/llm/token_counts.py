@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import slices, text_of
 
+#: Fixed value: the pattern of pre-tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters of texts that split() parts as the pattern does: of Latin-1, white space, visible ASCII, and letters.
+PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *(b for b in range(0x80, 0x100) if unicodedata.category(chr(b))[0] == "L")])
 _NONE = np.int32(np.iinfo(np.int32).max)
-#: Pre-tokens remembered by a worker; the memory is emptied when full.
+#: Units remembered by a worker; the memory is emptied when full.
 MEMORY = 700_000
 #: Characters of a text that are split into words at a time; cut at white space, which this kind of vocabulary drops.
 PIECE = 1 << 20
@@ -85,6 +89,7 @@ class WordBpe:
         self.last = np.array([vocab[c + end] for c in shown], np.int32)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern).findall
+        self.by_space = pattern == PATTERN
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.known: dict[str, int] = {}
@@ -141,15 +146,35 @@ class WordBpe:
             text = text.replace("Σ", "σ")  # lower-cased letter by letter, so without a final sigma
         return text.lower()
 
+    def units(self, text: str) -> list[str]:
+        """A normalised text as strings that are tokenised each by itself: what white space parts, or pre-tokens."""
+        if self.by_space:
+            try:
+                if not text.encode("latin-1").translate(None, PLAIN):
+                    return text.split()
+            except UnicodeEncodeError:
+                pass
+        return self.words(text)
+
+    def tokens_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, and how many each has."""
+        words, many = [], []
+        for unit in units:
+            own = (unit,) if unit.isalpha() else self.words(unit)
+            words += own
+            many.append(len(own))
+        ids, each = self.merge(words)
+        return ids, np.add.reduceat(each, np.cumsum(many) - many)
+
     def segments(self, text: str) -> Iterator[tuple[list[str], int | None]]:
-        """Words of each stretch of a text and the special token that follows it, if any."""
+        """Units of each stretch of a text and the special token that follows it, if any."""
         pieces = self.cut.split(text) if "<|" in text else [text]
         for i in range(0, len(pieces), 2):
             special = self.special[pieces[i + 1]] if i + 1 < len(pieces) else None
             parts = list(cut_at_space(pieces[i], PIECE))
             for part in parts[:-1]:
-                yield self.words(self.normal(part)), None
-            yield self.words(self.normal(parts[-1])), special
+                yield self.units(self.normal(part)), None
+            yield self.units(self.normal(parts[-1])), special
 
     def counts(self, texts: Iterable[str | None]) -> list[int]:
         """Tokens of each text."""
@@ -163,7 +188,7 @@ class WordBpe:
                 fresh = list(set(flat))
             for at in range(0, len(fresh), 200_000):
                 some = fresh[at : at + 200_000]
-                self.known.update(zip(some, self.merge(some)[1].tolist()))
+                self.known.update(zip(some, self.tokens_of(some)[1].tolist()))
             each = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
             ends = np.cumsum(np.array(sizes, np.int64))
             sums = np.concatenate([[0], np.cumsum(each)])
@@ -195,14 +220,15 @@ class WordBpe:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         known = self.known_ids
         stretches = [list(self.segments(text or "")) for text in texts]
-        fresh = {w for parts in stretches for words, _ in parts for w in words if w not in known}
+        every = set().union(*[words for parts in stretches for words, _ in parts])
+        fresh = every.difference(known)
         if len(known) + len(fresh) > MEMORY:
             known.clear()
-            fresh = {w for parts in stretches for words, _ in parts for w in words}
+            fresh = every
         fresh = list(fresh)
         for at in range(0, len(fresh), 200_000):
             some = fresh[at : at + 200_000]
-            ids, many = self.merge(some)
+            ids, many = self.tokens_of(some)
             data = ids.astype("<u4").tobytes()
             ends = (4 * np.cumsum(many)).tolist()
             known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends)]))
