@@ -343,7 +343,7 @@ def _clean_order_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT o_orderkey, o_orderkey % 13 = 0 OR o_orderkey % 29 = 0 AS bad, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 50 END AS seats,
     coalesce(CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END, avg(CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END) OVER (PARTITION BY o_orderkey % 29 = 0)) AS cost FROM t
 )
-SELECT bad, count(*) AS n, round(sum(cost), 0) AS cost, round(sum(5.0), 2) AS hours, count(seats) AS with_seats, sum(seats)::BIGINT AS seats FROM c GROUP BY bad"""
+SELECT bad, count(*) AS n, round(sum(cost), 0) AS cost, round(sum(5.0::DOUBLE), 2) AS hours, count(seats) AS with_seats, sum(seats)::BIGINT AS seats FROM c GROUP BY bad"""
 )
 def pipeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ticket plan over tickets made of orders, summed up by outcome."""
