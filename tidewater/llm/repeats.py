@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import partitions_for, row_key, text_of
+from tidewater.llm.common import Scratch, partitions_for, row_key, text_of
 
-#: Units that are hashed at a time; contexts that are compared at a time.
-CHUNK, TOGETHER = 1 << 22, 40_000
+#: Units that are hashed at a time (a power of two); contexts that are compared at a time.
+CHUNK, TOGETHER = 1 << 20, 40_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 #: (text, anchor hash, place) of the runs in some texts; place: first start << 16 | offset of the anchor << 8 | more starts.
@@ -65,7 +65,8 @@ def anchor_runs(values: np.ndarray, sizes: np.ndarray, width: int, length: int)
     begins = np.cumsum(sizes) - sizes
     hashes = rolling(values, width)
     # the place in the low bits: of equal hashes the leftmost counts
-    tagged = (hashes >> np.uint64(22) << np.uint64(22)) | np.arange(hashes.size, dtype=np.uint64)
+    low = np.uint64(CHUNK - 1)
+    tagged = (hashes & ~low) | np.arange(hashes.size, dtype=np.uint64)
     least = _sliding_least(tagged, length - width + 1)
     many = sizes - length + 1
     owner = np.repeat(np.arange(len(sizes)), many)
@@ -75,7 +76,7 @@ def anchor_runs(values: np.ndarray, sizes: np.ndarray, width: int, length: int)
     first[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
     runs = np.flatnonzero(first)
     more = np.diff(np.append(runs, start.size)) - 1
-    anchor = (least[runs] & np.uint64(CHUNK - 1)).astype(np.int64)
+    anchor = (least[runs] & low).astype(np.int64)
     start, owner = start[runs], owner[runs]
     return owner, start - begins[owner], anchor - start, more, hashes[anchor].view(np.int64)
 
@@ -139,6 +140,7 @@ def with_spans(
     same_contexts: Callable[[list[bytes]], np.ndarray],
     repeated: Callable[..., np.ndarray],
     length: int,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """`keyed` with spans, an array of first and last starts of repeated windows (null: none).
 
@@ -146,7 +148,10 @@ def with_spans(
     context of so many windows from a start. same_contexts: numbers that are equal for equal contexts. repeated: which windows
     of some contexts occur in others. The documents are dealt out by their keys once and used twice.
     """
-    parts = partitions_for(keyed.sparkSession)
+    spark = keyed.sparkSession
+    parts = partitions_for(spark)
+    # as a table of its own, so that both sides of the join are plain exchanges and a hot anchor can be split
+    twice = (scratch or Scratch(spark, "repeats")).write(twice, "twice")
     wanted = anchors.join(twice.hint("merge"), "anchor", "left_semi")
     lists = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "place")).alias("anchors"))
     both = keyed.repartition(parts, "k1", "k2")

@@ -27,7 +27,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *(b for b in range(0x80, 0x100) if unicodedata.category(chr(b))[0] == "L")])
 _NONE = np.int32(np.iinfo(np.int32).max)
 #: Units remembered by a worker; the memory is emptied when full.
-MEMORY = 700_000
+MEMORY = 400_000
 #: Characters of a text that are split into words at a time; cut at white space, which this kind of vocabulary drops.
 PIECE = 1 << 20
 
@@ -75,6 +75,7 @@ class WordBpe:
     """A lower-casing word BPE with word-end symbols, read from a tokenizers file."""
 
     def __init__(self, path: str) -> None:
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
@@ -166,15 +167,24 @@ class WordBpe:
         ids, each = self.merge(words)
         return ids, np.add.reduceat(each, np.cumsum(many) - many)
 
-    def segments(self, text: str) -> Iterator[tuple[list[str], int | None]]:
-        """Units of each stretch of a text and the special token that follows it, if any."""
+    def segments(self, text: str) -> Iterator[tuple[list[str], bytes]]:
+        """Units of each stretch of a text and the ids that follow it: of a special token, or none.
+
+        A text with characters that Python's Unicode tables don't know yet is left to the tokenizers library, whose tables may.
+        """
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            from tokenizers import Tokenizer
+
+            self.library = self.library or Tokenizer.from_file(self.path)
+            yield [], np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return
         pieces = self.cut.split(text) if "<|" in text else [text]
         for i in range(0, len(pieces), 2):
-            special = self.special[pieces[i + 1]] if i + 1 < len(pieces) else None
+            tail = self.special[pieces[i + 1]].to_bytes(4, "little") if i + 1 < len(pieces) else b""
             parts = list(cut_at_space(pieces[i], PIECE))
             for part in parts[:-1]:
-                yield self.units(self.normal(part)), None
-            yield self.units(self.normal(parts[-1])), special
+                yield self.units(self.normal(part)), b""
+            yield self.units(self.normal(parts[-1])), tail
 
     def counts(self, texts: Iterable[str | None]) -> list[int]:
         """Tokens of each text."""
@@ -198,10 +208,10 @@ class WordBpe:
         spread = []  # stretches of each text
         for text in texts:
             n = 0
-            for words, special in self.segments(text or ""):
-                flat += words
-                sizes.append(len(words))
-                extra.append(special is not None)
+            for units, tail in self.segments(text or ""):
+                flat += units
+                sizes.append(len(units))
+                extra.append(len(tail) // 4)
                 n += 1
                 if len(flat) > 1_000_000:
                     settle()
@@ -220,7 +230,7 @@ class WordBpe:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         known = self.known_ids
         stretches = [list(self.segments(text or "")) for text in texts]
-        every = set().union(*[words for parts in stretches for words, _ in parts])
+        every = set().union(*[units for parts in stretches for units, _ in parts])
         fresh = every.difference(known)
         if len(known) + len(fresh) > MEMORY:
             known.clear()
@@ -234,10 +244,9 @@ class WordBpe:
             known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends)]))
         for parts in stretches:
             out = []
-            for words, special in parts:
-                out += map(known.__getitem__, words)
-                if special is not None:
-                    out.append(special.to_bytes(4, "little"))
+            for units, tail in parts:
+                out += map(known.__getitem__, units)
+                out.append(tail)
             yield b"".join(out)
 
 
