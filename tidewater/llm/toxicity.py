@@ -20,7 +20,7 @@ from tidewater.llm.common import slices, text_of
 from tidewater.llm.words import SIGNS, word_hashes
 
 #: Labelled rows that a chain is trained on at most, features of each category, and the bytes of a word's beginning.
-LABELLED, FEATURES, PREFIX = 10_000, 768, 5
+LABELLED, FEATURES, PREFIX = 10_000, 384, 5
 #: Folds, strength of the penalty, and texts that must have a feature.
 FOLDS, PENALTY, LEAST_TEXTS = 4, 1.0, 3
 
@@ -84,15 +84,15 @@ def fit(rows: Rows, earlier: np.ndarray, y: np.ndarray) -> Linear:
     penalty[-1] = 1e-6
     w = np.zeros(m + k + 1)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
-    for _ in range(12):
+    for _ in range(20):
         p = _probability(forward(w))
         gradient = backward(p - y) + penalty * w
         curve = np.maximum(p * (1 - p), 1e-6)
         step, residual = np.zeros_like(w), -gradient
         direction, size = residual.copy(), float(residual @ residual)
         start = size
-        for _ in range(60):
-            if size < 1e-8 * start:
+        for _ in range(25):
+            if size < 1e-4 * start:
                 break
             bent = backward(curve * forward(direction)) + penalty * direction
             alpha = size / float(direction @ bent)
