@@ -267,6 +267,17 @@ def test_repeated_strings_like_brute_force(spark):
     assert repeat_digests(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_anchors_like_brute_force(spark, monkeypatch, hot):
+    import tidewater.llm.repeats as module
+
+    monkeypatch.setattr(module, "HOT", hot)
+    rows = passages(12, "abcdé ", lambda r: "", [150, 200, 201, 260, 700])
+    assert as_set(repeat_digests(frame(spark, rows))) == repeats_brute(rows, 200)
+    rows = passages(13, "a b c d ab é".split(), lambda r: " ", [34, 35, 36, 60, 200])
+    assert as_set(window_digests(frame(spark, rows))) == windows_brute(rows, 35)
+
+
 def test_kept_text_has_whole_characters(spark):
     rows = [(1, "é" * 150 + "x"), (2, "y" + "é" * 150 + "ê"), (3, None)]
     found = {r["row"]["doc_id"]: r["kept_text"] for r in drop_repeats(frame(spark, rows)).collect()}

@@ -49,7 +49,7 @@ def drop_shared_lines(
     runs = LevelledRuns(scratch, ["h1", "h2"])
     for k in range(batches):
         runs.add(line_hashes(docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)) == k), text_col, least_chars))
-    shared = scratch.write(runs.at_least(least_docs), "shared")
+    shared = scratch.write(runs.at_least(least_docs).select("h1", "h2"), "shared")
     small = shared.count() <= BROADCAST_ROWS
 
     lines = docs.select(*row_key(id_col, text_col), F.posexplode(F.split(text_of(text_col), "\n")).alias("at", "line"))

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from tidewater.llm.common import Scratch, partitions_for, row_key, text_of
 
 #: Units that are hashed at a time (a power of two); contexts that are compared at a time.
 CHUNK, TOGETHER = 1 << 20, 40_000
+#: Occurrences of an anchor beyond which its contexts are dealt out window by window.
+HOT = 20_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 #: (text, anchor hash, place) of the runs in some texts; place: first start << 16 | offset of the anchor << 8 | more starts.
@@ -144,7 +147,7 @@ def with_spans(
 ) -> DataFrame:
     """`keyed` with spans, an array of first and last starts of repeated windows (null: none).
 
-    twice: the anchors (column anchor, distinct) that occur twice or more. contexts_of: of a text, a function that cuts out the
+    twice: the anchors that occur twice or more (anchor, n), distinct. contexts_of: of a text, a function that cuts out the
     context of so many windows from a start. same_contexts: numbers that are equal for equal contexts. repeated: which windows
     of some contexts occur in others. The documents are dealt out by their keys once and used twice.
     """
@@ -152,8 +155,8 @@ def with_spans(
     parts = partitions_for(spark)
     # as a table of its own, so that both sides of the join are plain exchanges and a hot anchor can be split
     twice = (scratch or Scratch(spark, "repeats")).write(twice, "twice")
-    wanted = anchors.join(twice.hint("merge"), "anchor", "left_semi")
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "place")).alias("anchors"))
+    wanted = anchors.join(twice.hint("merge"), "anchor").withColumn("hot", F.col("n") > HOT)
+    lists = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "place", "hot")).alias("anchors"))
     both = keyed.repartition(parts, "k1", "k2")
 
     schema = "anchor long, k1 long, k2 long, place long, many boolean, context binary"
@@ -161,24 +164,51 @@ def with_spans(
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            """Contexts that occur twice here are settled; one of them goes on, so that others can find it."""
-            texts = [h[4] for h in held]
-            number = same_contexts(texts)
+        def settle(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+            """Of rows (anchor, k1, k2, place, context, hot, many): those that occur twice here, which is all there is to know of
+            them, and one of each context, so that others can find it."""
+            if not rows:
+                return [], []
+            number = same_contexts([r[4] for r in rows])
             order = np.argsort(number, kind="stable")
-            same = np.append(False, number[order][1:] == number[order][:-1])
-            many = same | np.append(same[1:], False)
-            for pick, flag in ((np.flatnonzero(~same), None), (np.flatnonzero(many), True)):
-                rows = [held[i] for i in order[pick].tolist()]
-                settled = flag is not None
-                arrays = [
-                    pa.array([r[1] ^ r[2] if settled else r[0] for r in rows], pa.int64()),
-                    *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)),
-                    pa.array(many[pick]),
-                    pa.array([None] * len(rows) if settled else [r[4] for r in rows], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "k1", "k2", "place", "many", "context"])
+            begins = np.append(True, number[order][1:] != number[order][:-1])
+            group = np.cumsum(begins) - 1
+            flags = np.array([r[6] for r in rows])[order]
+            many = ((np.bincount(group) > 1) | (np.bincount(group, flags) > 0))[group]
+            return [rows[i] for i in order[many].tolist()], [(*rows[i][:6], bool(m)) for i, m in zip(order[begins].tolist(), many[begins].tolist())]
+
+        def batch_of(rows: list[tuple], settled: bool) -> pa.RecordBatch:
+            arrays = [
+                pa.array([r[1] ^ r[2] if settled else r[0] for r in rows], pa.int64()),
+                *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)),
+                pa.array([r[6] for r in rows], pa.bool_()),
+                pa.array([None if settled else r[4] for r in rows], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, names=["anchor", "k1", "k2", "place", "many", "context"])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            done, going = settle(held)
             held.clear()
+            yield batch_of(done, True)
+            yield batch_of([r for r in going if not r[5]], False)
+            # an anchor of very many occurrences: each window goes by its own hash, so that no task gets all contexts
+            windows: list[tuple] = []
+            for r in going:
+                if not r[5]:
+                    continue
+                cut = contexts_of(r[4])
+                for k in range((r[3] & 255) + 1):
+                    window = cut(k, length)
+                    key = xxhash.xxh64_intdigest(window) - (1 << 63)
+                    windows.append((key, r[1], r[2], (r[3] >> 16) + k << 16, window, False, r[6]))
+                if len(windows) >= TOGETHER:
+                    done, rest = settle(windows)
+                    yield batch_of(done, True)
+                    yield batch_of(rest, False)
+                    windows = []
+            done, rest = settle(windows)
+            yield batch_of(done, True)
+            yield batch_of(rest, False)
 
         for batch in batches:
             k1, k2 = (batch.column(k).to_pylist() for k in range(2))
@@ -186,11 +216,12 @@ def with_spans(
             lists_ = batch.column(4)
             offsets = lists_.offsets.to_numpy() - lists_.offsets[0].as_py()
             flat = lists_.flatten()
-            anchor, place = flat.field(0).to_numpy().tolist(), flat.field(1).to_numpy().tolist()
+            anchor, place, hot = (flat.field(k).to_pylist() for k in range(3))
             for i in range(batch.num_rows):
                 cut = contexts_of(bodies[i].as_py())
-                for a, p in zip(anchor[offsets[i] : offsets[i + 1]], place[offsets[i] : offsets[i + 1]]):
-                    held.append((a, k1[i], k2[i], p, cut(p >> 16, (p & 255) + length)))
+                own = slice(offsets[i], offsets[i + 1])
+                for a, p, h in zip(anchor[own], place[own], hot[own]):
+                    held.append((a, k1[i], k2[i], p, cut(p >> 16, (p & 255) + length), h, False))
                 if len(held) >= TOGETHER:
                     yield from out()
         if held:

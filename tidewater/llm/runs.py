@@ -60,6 +60,6 @@ class LevelledRuns:
             self.scratch.drop(name)
 
     def at_least(self, n: int) -> DataFrame:
-        """The keys with so many occurrences over all batches."""
+        """(keys, n) with so many occurrences over all batches."""
         rows = reduce(DataFrame.unionByName, self.runs())
-        return rows.groupBy(*self.keys).agg(F.sum("n").alias("n")).where(F.col("n") >= n).select(*self.keys)
+        return rows.groupBy(*self.keys).agg(F.sum("n").alias("n")).where(F.col("n") >= n)

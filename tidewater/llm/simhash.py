@@ -264,10 +264,12 @@ def near_duplicates(
     component of its fingerprint (null if all ids there are null); repeated rows each give a row; an empty table gives
     none. Other columns of `docs` are left out, so their names can't clash.
     """
-    every, named = _components(docs, id_col, text_col, words, distance, scratch or Scratch(docs.sparkSession, "simhash"))
+    scratch = scratch or Scratch(docs.sparkSession, "simhash")
+    every, named = _components(docs, id_col, text_col, words, distance, scratch)
     least = named.groupBy("root").agg(F.min("least").alias("first"))
     found = named.select("fp", "root").join(least, "root").select("fp", F.col("first.id").alias("component_id"))
-    return every.join(found, "fp").select(F.col("id").alias(id_col), hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+    # as a table of its own, so that both sides of the join are plain exchanges and a common fingerprint can be split
+    return every.join(scratch.write(found, "components"), "fp").select(F.col("id").alias(id_col), hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(

@@ -214,7 +214,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFra
         raise ValueError(f"a length between {ANCHOR + 1} and {ANCHOR + 255} is needed")
     keyed = keyed_documents(docs, id_col, text_col)
     anchors = anchors_of(keyed, lambda texts: find_anchors(texts, length))
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     cut = lambda body: lambda start, n: body[start : start + n]
     return with_spans(keyed, anchors, twice, contexts_of=cut, same_contexts=same_strings, repeated=repeated_starts, length=length)
 
