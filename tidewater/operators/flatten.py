@@ -17,15 +17,21 @@ def parse_object(c: Column) -> Column:
     return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
 
 
-def discover_paths(df: DataFrame, column: str, max_depth: int = 16) -> dict[tuple[str, ...], set[str]]:
-    """Kinds of the leaves under each path, over all rows; the distinct paths come to the driver, not the rows."""
+def discover_paths(df: DataFrame, column: str, max_depth: int = 64, max_paths: int = 10_000) -> dict[tuple[str, ...], set[str]]:
+    """Kinds of the leaves under each path, over all rows; the distinct paths come to the driver, not the rows.
+
+    More than `max_paths` paths at one depth can't become columns and raise.
+    """
     level = df.select(F.array().cast("array<string>").alias("path"), parse_object(F.col(column)).alias("v")).where("v IS NOT NULL")
     leaves: dict[tuple[str, ...], set[str]] = {}
     for _ in range(max_depth):
         inner = level.lateralJoin(_exploded(level)).select(F.concat("path", F.array("key")).alias("path"), "value")
         inner = inner.withColumn("kind", F.regexp_replace(F.schema_of_variant("value"), r"[<(].*", ""))
         deeper = False
-        for row in inner.groupBy("path", "kind").count().collect():
+        found = inner.select("path", "kind").distinct().limit(max_paths + 1).collect()
+        if len(found) > max_paths:
+            raise ValueError(f"{column} has more than {max_paths} paths; give `paths`")
+        for row in found:
             if row["kind"] == "OBJECT":
                 deeper = True
             else:

@@ -5,6 +5,7 @@ Dirt is made from key columns inside a query, so that the SQL can state the clea
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +20,9 @@ from tidewater.operators.flatten import flatten_json
 from tidewater.operators.impute import impute_by_group, interpolate
 from tidewater.operators.unify import unify_names
 from tidewater.plans.tickets import run_pipeline
+from tidewater.session import shared_folder
 from tidewater.sources.synthetic import dirty_tickets
-from tidewater.sources.tables import TICKET_COLUMNS
+from tidewater.sources.tables import TICKET_COLUMNS, read_csv, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,6 +97,31 @@ def table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.shape(table(spark, sf_dir, "customer"))
 
 
+@query("SELECT p_partkey::VARCHAR AS p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN p_name || ', \"x\"' END AS p_name FROM part")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text with commas and quotes to CSV and back; missing names are null again."""
+    key = F.col("p_partkey").cast("string")
+    rows = table(spark, sf_dir, "part").select(key.alias("p_partkey"), F.when(F.col("p_partkey") % 9 != 0, F.concat("p_name", F.lit(', "x"'))).alias("p_name"))
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(rows, path)
+    return read_csv(spark, path, rows.schema)
+
+
+@query(None)
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.sample_of(table(spark, sf_dir, "orders"), "o_totalprice", 10, seed=42)
+
+
+@query(None)
+def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.shuffled(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", seed=42)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(10)
+
+
 # -- text -------------------------------------------------------------------------------------------------------------
 
 
