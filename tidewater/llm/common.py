@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,8 +11,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.session import shared_folder
+
 #: Bytes of text that a Python worker works on at a time; longer texts are one slice each.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,28 +28,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Where the session has none, a local session (tests) gets a temporary one; a cluster must name it.
-    """
-    context = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not where:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(where)
-    return where
-
-
 class Scratch:
     """Tables written under the shared folder for one run of an operator; they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, purpose: str) -> None:
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
         self.made: set[str] = set()
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
