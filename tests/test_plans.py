@@ -52,7 +52,7 @@ def test_plan_on_any_partitions(spark):
     results = []
     for parts in (1, 5):
         valid, _ = run_pipeline(spark, raw.repartition(parts))
-        results.append(sorted((r["ticket_id"], r["company_name"], round(r["cost"], 6), r["created_at"]) for r in valid.collect()))
+        results.append(sorted((r["ticket_id"], r["company_name"], round(r["cost"], 6), r["created_at"], round(r["response_time_hours"], 6)) for r in valid.collect()))
     assert results[0] == results[1]
 
 

@@ -21,14 +21,15 @@ def impute_by_group(df: DataFrame, value: str, group: str) -> DataFrame:
     return joined.withColumn(value, F.coalesce(number, F.col("__mean"), overall)).drop("__group", "__mean")
 
 
-def interpolate(df: DataFrame, column: str, sort_by: str | None = None, tie: str = "_row_id", partitions: int | None = None) -> DataFrame:
+def interpolate(df: DataFrame, column: str, sort_by: str | None = None, tie: str | list[str] = "_row_id", partitions: int | None = None) -> DataFrame:
     """Missing values on the line between the known ones before and after, by position in the order of `sort_by`, then `tie`.
 
     Nulls of `sort_by` come last; before the first and after the last known value that value holds. Rows go to ranges of the order;
     windows run inside a range, and what reaches across is a row for each range, so no task sees the whole order.
     """
     spark = df.sparkSession
-    order = ([F.col(sort_by).asc_nulls_last()] if sort_by else []) + [F.col(tie).asc()]
+    ties = [tie] if isinstance(tie, str) else tie
+    order = [F.col(c).asc_nulls_last() for c in ([sort_by] if sort_by else []) + ties]
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     number = F.when(~F.isnan(F.col(column)), F.col(column))
     ranged = checkpointed(df.repartitionByRange(count, *order).withColumn("__range", F.spark_partition_id()))

@@ -37,7 +37,7 @@ def clean_tickets(raw: DataFrame, threshold: float = 80) -> DataFrame:
     df = unify_names(df, "company_name", threshold)
     df = df.withColumn("response_time_hours", hours_between(F.col("created_at"), F.col("resolved_at")))
     df = impute_by_group(df, "cost", "category")
-    df = interpolate(df, "response_time_hours", sort_by="created_at")
+    df = interpolate(df, "response_time_hours", sort_by="created_at", tie=["ticket_id", "_row_id"])
     df = iso_column(iso_column(df, "created_at"), "resolved_at").drop("_row_id")
     return TICKETS.annotate(df)
 
