@@ -53,6 +53,24 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM d
+), s AS (
+  SELECT doc_id, pos, words[pos] AS word, CASE WHEN pos + 34 <= len(words) THEN array_to_string(words[pos:pos + 34], ' ') END AS seq FROM w
+), c AS (
+  SELECT doc_id, pos, word, seq IS NOT NULL AND count(*) OVER (PARTITION BY seq) > 1 AS again FROM s
+), g AS (
+  SELECT doc_id, pos, word, max(again::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM c
+), a AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id
+)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -111,4 +129,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_nearest_neighbours": OP8_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_nearest_neighbours": OP8_SQL, "op9_window_dedup": OP9_SQL}
