@@ -18,6 +18,27 @@ from tidewater.llm.toxicity import label_categories, toxicity, train_on
 from tidewater.llm.vp_search import nearest
 from tidewater.llm.window_dedup import window_digests
 
+#: Bytes as pairs of hexadecimal digits; the digest of a string's digits stands for the string.
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, h, unnest(range(1, len(h) // 2 + 1)) AS pos FROM d
+), s AS (
+  SELECT doc_id, pos, substring(h, 2 * pos - 1, 2) AS byte, CASE WHEN pos + 199 <= len(h) // 2 THEN md5(substring(h, 2 * pos - 1, 400)) END AS seq FROM w
+), c AS (
+  SELECT doc_id, pos, byte, seq IS NOT NULL AND count(*) OVER (PARTITION BY seq) > 1 AS again FROM s
+), g AS (
+  SELECT doc_id, pos, byte, max(again::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) = 1 AS gone FROM c
+), e AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM g
+), a AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY pos) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id
+)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
 OP5_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -129,4 +150,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_nearest_neighbours": OP8_SQL, "op9_window_dedup": OP9_SQL}
+    return {"op2_suffix_array_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_nearest_neighbours": OP8_SQL, "op9_window_dedup": OP9_SQL}
