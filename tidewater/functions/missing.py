@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ VALUE_TOKENS = ("", "nan", "none", "null", "n/a", "na", "-", "?")
 JSON_TOKENS = ("", "null", "none", "nan", "{}")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it; inside of branches Spark would compute it anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space, in the Unicode sense, at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -28,8 +35,7 @@ def read_missing(df: DataFrame) -> DataFrame:
 
 def value_or_null(c: Column) -> Column:
     """Stripped text, null where it is one of VALUE_TOKENS."""
-    text = strip(c)
-    return F.when(~F.lower(text).isin(*VALUE_TOKENS), text)
+    return let(strip(c), lambda text: F.when(~F.lower(text).isin(*VALUE_TOKENS), text))
 
 
 def drop_blank_rows(df: DataFrame) -> DataFrame:

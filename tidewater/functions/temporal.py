@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions.missing import value_or_null
+from tidewater.functions.missing import let, value_or_null
 
 #: Zone names and the offsets that they stand for, without daylight saving.
 ZONES = {"UTC": "+00:00", "Z": "+00:00", "EST": "-05:00", "PST": "-08:00", "CET": "+01:00"}
@@ -37,7 +37,10 @@ def zone_to_offset(text: Column) -> Column:
 
 def to_utc(c: Column) -> Column:
     """A timestamp, null if missing or unreadable; without a zone the text is in UTC; month first where both could be."""
-    text = zone_to_offset(value_or_null(c.cast("string")))
+    return let(let(value_or_null(c.cast("string")), zone_to_offset), _by_look)
+
+
+def _by_look(text: Column) -> Column:
     out = None
     for look, formats in _FORMATS:
         value = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.missing import nan_to_null, strip, value_or_null
+from tidewater.functions.missing import let, nan_to_null, strip, value_or_null
 
 #: Currency marks, removed in this order.
 CURRENCY_MARKS = ("US$", "USD", "EUR", "GBP", "$", "€", "£")
 #: What a Python float literal may look like.
-_NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
+_NUMBER_LOOK = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 _INFINITE = r"^[+-]?inf(inity)?$"
 
 
@@ -31,28 +31,35 @@ def currency(c: Column) -> Column:
     Leading minus signs make it negative; currency marks go; of comma and point the last one is the decimal separator; a comma alone
     is one if two characters follow the last; a point alone always is.
     """
-    text = value_or_null(c)
-    negative = F.startswith(text, F.lit("-"))
+    return let(value_or_null(c), _signed)
+
+
+def _signed(text: Column) -> Column:
     bare = strip(F.regexp_replace(text, "^-+", ""))
     for mark in CURRENCY_MARKS:
         bare = F.replace(bare, F.lit(mark), F.lit(""))
-    bare = strip(bare)
+    value = let(let(strip(bare), _plain), _number)
+    return let(value, lambda v: nan_to_null(F.when(F.startswith(text, F.lit("-")), -v).otherwise(v)))
+
+
+def _plain(bare: Column) -> Column:
+    """Digits with a decimal point, if it is a number at all."""
     comma, point = F.contains(bare, F.lit(",")), F.contains(bare, F.lit("."))
     tail = F.substring_index(bare, ",", -1)
     no_comma = F.replace(bare, F.lit(","), F.lit(""))
-    comma_as_point = F.replace(bare, F.lit(","), F.lit("."))
-    european = F.translate(bare, ",.", ".")
-    plain = (
-        F.when(comma & point & ~F.contains(tail, F.lit(".")), european)
+    return (
+        F.when(comma & point & ~F.contains(tail, F.lit(".")), F.translate(bare, ",.", "."))
         .when(comma & point, no_comma)
-        .when(comma & (F.length(tail) == 2), comma_as_point)
+        .when(comma & (F.length(tail) == 2), F.replace(bare, F.lit(","), F.lit(".")))
         .when(comma, no_comma)
         .otherwise(bare)
     )
-    number = F.when(F.rlike(plain, F.lit(_NUMBER)), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double"))
+
+
+def _number(plain: Column) -> Column:
+    number = F.when(F.rlike(plain, F.lit(_NUMBER_LOOK)), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double"))
     infinite = F.when(F.startswith(plain, F.lit("-")), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    value = F.when(F.rlike(F.lower(plain), F.lit(_INFINITE)), infinite).otherwise(number)
-    return nan_to_null(F.when(negative, -value).otherwise(value))
+    return F.when(F.rlike(F.lower(plain), F.lit(_INFINITE)), infinite).otherwise(number)
 
 
 def on_columns(df: DataFrame, columns: list[str], change) -> DataFrame:
