@@ -197,6 +197,29 @@ def test_large_buckets_lose_no_component(spark):
     assert links(df, 3, 4).count() > 0
 
 
+@pytest.mark.parametrize("distance", [4, 5])
+def test_every_pair_at_the_distance_is_linked(spark, distance):
+    import tidewater.llm.simhash as module
+
+    rng = np.random.default_rng(distance)
+    fps = rng.integers(0, 1 << 64, 3000, np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, distance, replace=False)) for _ in fps], np.uint64)
+    (left, a), (right, b) = bucket_keys(fps, distance), bucket_keys(fps ^ flips, distance)
+    shared = set(zip(left.tolist(), a.tolist())) & set(zip(right.tolist(), b.tolist()))
+    assert {row for row, _ in shared} == set(range(len(fps)))
+    some = np.unique(np.concatenate([fps[:300], (fps ^ flips)[:300]]))
+    df = spark.createDataFrame([(int(f),) for f in some.view(np.int64)], "fp long")
+    found = {frozenset(np.array([r["a"], r["b"]]).view(np.uint64).tolist()) for r in links(df, distance, 4).collect()}
+    brute = {frozenset((int(x), int(y))) for k, x in enumerate(some) for y in some[k + 1 :] if int(x ^ y).bit_count() <= distance}
+    assert found == brute and len(brute) >= 300
+    old, module.LARGE = module.LARGE, 8  # pairs of one large bucket
+    try:
+        x, y = module._large_group(some, distance)
+    finally:
+        module.LARGE = old
+    assert {frozenset(p) for p in zip(x.tolist(), y.tolist())} == brute
+
+
 def test_pipeline_distance_links_at_least_three_bits(spark):
     words = [f"w{k}" for k in range(400)]
     rows = [(1, " ".join(words)), (2, " ".join([*words[:200], "changed", *words[201:]])), (3, " ".join(reversed(words))), (4, " ".join(words[:200]))]

@@ -4,7 +4,8 @@ A 64-bit fingerprint is four blocks of 16 bits. If two fingerprints differ in at
 of the two 24-bit halves of the other blocks one differs in at most one bit. The perfect binary Golay code maps a half
 (23 of its bits) to the codewords near it: one, or six where the half is three bits from its codeword; two halves at
 distance two or less share one. So (block, equal bits, half, codeword) is a key that some bucket has in common for every
-pair to be linked; in the buckets, distances are measured and what is too far apart goes.
+pair to be linked; in the buckets, distances are measured and what is too far apart goes. For four and five bits there are six
+blocks of 10 or 11 bits: one is equal, and of the two halves of the others one differs in at most two bits.
 """
 
 from __future__ import annotations
@@ -115,17 +116,19 @@ def nearby_codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([near, far[rows]]), np.concatenate([own[near], around[rows, columns]])
 
 
-def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for the 64-bit fingerprints; any two at distance 3 or less share a key."""
-    blocks = [(fps >> np.uint64(16 * k) & np.uint64(0xFFFF)) for k in range(4)]
+def bucket_keys(fps: np.ndarray, distance: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for the 64-bit fingerprints; any two at the distance (five at most) or less share a key."""
+    ends = (0, 16, 32, 48, 64) if distance <= 3 else (0, 11, 22, 33, 44, 54, 64)
     rows, keys = [], []
-    for i in range(4):
-        a, b, c = (blocks[k] for k in range(4) if k != i)
-        rest = a | b << np.uint64(16) | c << np.uint64(32)
+    for i, (begin, end) in enumerate(zip(ends, ends[1:])):
+        block = fps >> np.uint64(begin) & np.uint64((1 << end - begin) - 1)
+        rest = fps & np.uint64((1 << begin) - 1)
+        if end < 64:
+            rest |= fps >> np.uint64(end) << np.uint64(begin)
         for j in range(2):
-            half = (rest >> np.uint64(24 * j) & np.uint64(0x7FFFFF)).astype(np.uint32)
+            half = (rest >> np.uint64((24 if distance <= 3 else 27) * j) & np.uint64(0x7FFFFF)).astype(np.uint32)
             row, index = nearby_codewords(half)
-            head = blocks[i] | np.uint64((i * 2 + j) << 16)
+            head = block | np.uint64((i * 2 + j) << 16)
             rows.append(row)
             keys.append(head[row] << np.uint64(12) | index.astype(np.uint64))
     return np.concatenate(rows), np.concatenate(keys).astype(np.int64)
@@ -166,8 +169,8 @@ def _small_groups(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarra
 def _large_group(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within one large bucket that connect what all its links connect.
 
-    Five windows of 12 bits apart from each other hold three errors at most, so one is equal (with five errors too, but for
-    one in each): groups by each window of 12 bits find every link. Groups that stay large are compared in blocks; a fingerprint's
+    Five windows of 12 bits apart from each other, and the last four bits, can't all hold one of five errors, so one is equal:
+    groups by each window of 12 bits find every link. Groups that stay large are compared in blocks; a fingerprint's
     links beyond its first in a block are implied by those that the block's members have among themselves.
     """
     left, right = [], []
@@ -212,16 +215,15 @@ def _blocks(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(distinct: DataFrame, distance: int, parts: int) -> DataFrame:
-    """(a, b) fingerprints (column fp, distinct): they connect the same ones as all pairs at most `distance` bits apart that share
-    a bucket would. Up to a distance of three every pair shares one; of pairs at four bits nine in ten do, at five eight in ten.
+    """(a, b) fingerprints (column fp, distinct): they connect the same ones as all pairs at most `distance` bits apart would.
     """
     if not 0 <= distance <= 5:
-        raise ValueError("the keys are made for distances of three bits, and serve for five")
+        raise ValueError("the keys are made for distances of five bits at most")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy()
-            row, key = bucket_keys(fps.view(np.uint64))
+            row, key = bucket_keys(fps.view(np.uint64), distance)
             for at in range(0, key.size, 200_000):
                 some = slice(at, at + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(fps[row[some]])], names=["key", "fp"])
