@@ -14,6 +14,7 @@ from tidewater.llm.components import components
 from tidewater.llm.exact_dedup import exact_duplicates
 from tidewater.llm.line_dedup import line_digests
 from tidewater.llm.simhash import bucket_keys, keep_one_of_each, links, near_duplicates
+from tidewater.llm.similar import keep_one_of_similar, set_keys, shingles, similar
 from tidewater.llm.suffix_dedup import BlindTrie, common_prefix, deep_shallow, drop_repeats, repeat_digests
 from tidewater.llm.window_dedup import drop_windows, window_digests
 
@@ -227,6 +228,67 @@ def test_pipeline_distance_links_at_least_three_bits(spark):
     assert stay == {1, 3, 4}
 
 
+def jaccard_brute(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (a.lower().split(), b.lower().split()))
+    return not a | b or 10 * len(a & b) >= 8 * len(a | b)
+
+
+def changed(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("copies", [3, 40])  # 40: large buckets
+def test_similar_texts_like_brute_force(spark, copies):
+    rng = random.Random(copies)
+    rows = ODD + [(7, "A b c d e f g h"), (8, "a B c  d e f g h i"), (9, "a b c d e f g"), (20, "a b c d")]
+    for base in range(6):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([9, 30, 60, 120, 250]))]
+        rows += [(100 * (base + 1) + k, changed(rng, words, rng.randrange(0, max(2, len(words) // 25)))) for k in range(copies)]
+    rng.shuffle(rows)
+    roots = grouped([t or "" for _, t in rows], jaccard_brute)
+    groups = defaultdict(list)
+    for (i, _), r in zip(rows, roots):
+        groups[r].append(i)
+    least = [min((i for i in g if i is not None), default=None) for g in groups.values()]
+    found = [r["row"]["doc_id"] for r in keep_one_of_similar(frame(spark, rows)).collect()]
+    assert sorted(found, key=str) == sorted(least, key=str)
+    assert keep_one_of_similar(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_similar_sets_share_a_key():
+    rng = np.random.default_rng(5)
+    for size in [*range(4, 60), 99, 100, 101, 350, 2000]:
+        for _ in range(10):
+            every = rng.integers(0, 1 << 64, 2 * size, np.uint64)
+            drop = rng.integers(0, size // 5 + 1)  # a part of the others goes, new ones come
+            add = (size * 5 - 5 * drop) // 4 - size
+            a, b = np.unique(every[:size]), np.unique(np.append(every[drop:size], every[size : size + max(0, add)]))
+            assert not similar(a, b) or np.array_equal(a, b) or np.intersect1d(set_keys(a), set_keys(b)).size
+
+
+def test_pipeline_stage_goes_by_similarity_not_by_fingerprints(spark):
+    from corpus_pipeline import drop_near_duplicates
+
+    rng, near, far, rows = random.Random(2), [], [], []
+    while len(near) < 5 or len(far) < 5:
+        words = [f"w{rng.randrange(60)}" for _ in range(120)]
+        a, b = " ".join(words), changed(rng, words, rng.choice([3, 4, 5, 6]))
+        bits = (simhash_brute(a, 2) ^ simhash_brute(b, 2)).bit_count()
+        alike = jaccard_brute(a, b)
+        if alike and bits > 5 and len(near) < 5:
+            near.append((a, b))
+        elif not alike and bits <= 5 and len(far) < 5:
+            far.append((a, b))
+    for k, (a, b) in enumerate(near + far):
+        rows += [(10 * k, a), (10 * k + 1, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = {r["doc_id"] for r in drop_near_duplicates(spark, df, "").collect()}
+    assert stay == {10 * k for k in range(10)} | {10 * k + 1 for k in range(5, 10)}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
     df = spark.createDataFrame(edges, "a long, b long")

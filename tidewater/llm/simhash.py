@@ -33,21 +33,28 @@ LARGE = 2048
 # -- fingerprints -----------------------------------------------------------------------------------------------------
 
 
-def fingerprint(text: str, words: int) -> int:
-    """Majority bits of the XXH64 (seed 42) of all word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of all word shingles, repeats included, some at a time."""
     parts = text.encode("utf-8").translate(_LOWER).split()
     if not parts:
-        return 0
+        return
     line = memoryview(b" ".join(parts))
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     n = max(1, len(parts) - words + 1)
     starts, ends = (ends - lengths)[:n].tolist(), ends[-n:].tolist()
     del parts
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, 1 << 16):
-        some = np.array([digest(line[a:b], 42) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])], "<u8")
+        yield np.array([digest(line[a:b], 42) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])], "<u8")
+
+
+def fingerprint(text: str, words: int) -> int:
+    """Majority bits of all word shingles' hashes; 0 without words."""
+    ones, n = np.zeros(64, np.int64), 0
+    for some in shingle_hashes(text, words):
         ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += some.size
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
@@ -297,6 +304,11 @@ def keep_one_of_each(
     equal rows one stays.
     """
     _, named = _components(docs, id_col, text_col, words, distance, scratch or Scratch(docs.sparkSession, "simhash"))
+    return first_rows(docs, named, id_col, text_col)
+
+
+def first_rows(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row) of the document of the least `least` of each root in `named`."""
     stay = named.groupBy("root").agg(F.min("least").alias("first")).select("first.k1", "first.k2")
     whole = docs.select(*row_key(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     same = Window.partitionBy("k1", "k2").orderBy("k1")  # needs no exchange after the join
