@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,6 +30,7 @@ def test_unknown_columns_raise(spark):
         squeeze_columns(spark.createDataFrame([("a",)], "name string"), ["other"]).collect()
 
 
+#: Texts and the amounts that they have to give.
 CURRENCY = {
     "$1,200.50": 1200.5, "1200,50 €": 1200.5, "1,050.75 USD": 1050.75, "-$20.00": -20.0, "1.234.567,89": 1234567.89, "1,234,567.89": 1234567.89,
     "1,200": 1200.0, "1200,5": 12005.0, "1,200,50": None, "1.200": 1.2, "--5": -5.0, "$-20": -20.0, "-$-20": 20.0, "(20.00)": None, "1 200,50 €": None,
@@ -57,6 +60,7 @@ def test_title_case(spark):
     assert values(spark, items, title_case) == [x.strip().title() for x in items]
 
 
+#: Texts and the moments that they have to give.
 DATES = {
     "27/06/2025 09:10 EST": "2025-06-27T14:10:00+00:00", "2025-03-11T19:27:00+02:00": "2025-03-11T17:27:00+00:00", "2024-01-01 12:00:00": "2024-01-01T12:00:00+00:00",
     "07/09/2024 05:06 PM": "2024-07-09T17:06:00+00:00", "March 05, 2024 13:20 Z": "2024-03-05T13:20:00+00:00", "05-Mar-2024 13:20:11 CET": "2024-03-05T12:20:11+00:00",
@@ -89,6 +93,45 @@ def test_dates_round_trip(spark, moments):
     assert values(spark, shown, lambda c: iso8601(to_utc(c))) == expected
 
 
+def read_by_pandas(text: str) -> str | None:
+    """The moment that pandas reads, month first, else day first; whole microseconds."""
+    names = {"UTC": 0, "Z": 0, "EST": -5, "PST": -8, "CET": 1}
+    name = next((n for n in names if text.endswith(" " + n) or (text.endswith(n) and text[: -len(n)][-1:].isdigit())), None)
+    shown = f"{text[: -len(name)].strip()} {names[name]:+03d}:00" if name else text
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        both = [pd.to_datetime(shown, utc=True, errors="coerce", dayfirst=d) for d in (False, True)]
+    return next((t.floor("us").isoformat() for t in both if not pd.isna(t)), None)
+
+
+@st.composite
+def grammar(draw):
+    """Texts of the grammar that to_utc states."""
+    y, m, d = draw(st.integers(1970, 2060)), draw(st.integers(1, 12)), draw(st.integers(1, 28))
+    long, short = dt.date(2000, m, 1).strftime("%B"), dt.date(2000, m, 1).strftime("%b")
+    mark, month = draw(st.sampled_from("-/.")), draw(st.sampled_from([long, short]))
+    date = draw(st.sampled_from([
+        f"{y}{mark}{m:02}{mark}{d:02}", f"{y}{m:02}{d:02}", f"{m}{mark}{d}{mark}{y}", f"{d:02}{mark}{m:02}{mark}{y}", f"{m:02}/{d:02}/{y % 100 if 1977 <= y <= 2060 else 24:02}",
+        f"{month} {d}, {y}", f"{month} {d:02} {y}", f"{d} {month} {y}", f"{d:02}-{short}-{y}", f"{dt.date(y, m, d):%a}, {d:02} {short} {y}",
+    ]))
+    h, n, s = draw(st.integers(0, 23)), draw(st.integers(0, 59)), draw(st.integers(0, 59))
+    fraction = draw(st.integers(1, 999_999_999))
+    time = draw(st.sampled_from(["", f" {h:02}:{n:02}", f" {h}:{n:02}:{s:02}", f" {h:02}:{n:02}:{s:02}.{fraction:09}", f" {h:02}:{n:02}:{s:02}.{fraction % 1000:03}", f" {(h - 1) % 12 + 1}:{n:02} {'AP'[h > 11]}M", f" {(h - 1) % 12 + 1:02}:{n:02}:{s:02} {'ap'[h > 11]}m"]))
+    zone = draw(st.sampled_from(["", " Z", " UTC", " EST", " CET", "+02:00", " -0530", "+02"])) if time else ""
+    return date + time + zone
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(grammar(), min_size=40, max_size=80))
+def test_dates_like_pandas(spark, texts):
+    assert values(spark, texts, lambda c: iso8601(to_utc(c))) == [read_by_pandas(x) for x in texts]
+
+
+def test_no_dates(spark):
+    texts = ["2024-02-30", "2024-01-01 24:10", "2024-01-01 10:60", "2024-01-01 10:10:60", "13:00", "2024-01-01 13:00 PM", "3000-01-01", "1500-01-01", "5 Foo 2024", "2024-01/02", "1\x012\x013", "2024-01-01 10:00 +25:00"]
+    assert values(spark, texts, lambda c: iso8601(to_utc(c))) == [None] * len(texts)
+
+
 def test_hours_may_be_negative(spark):
     row = spark.sql("SELECT timestamp'2024-01-01 10:30:00' a, timestamp'2024-01-01 09:00:00' b").select(hours_between(F.col("a"), F.col("b")).alias("h")).first()
     assert row["h"] == -1.5

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 _OTHER = re.compile(r"(?u)[\W_]")
 #: Weights of token scores and of partial scores, and the length ratios at which they change.
 TOKEN_WEIGHT, PARTIAL_WEIGHT, FAR_WEIGHT, PARTIAL_FROM, FAR_FROM = 0.95, 0.9, 0.6, 1.5, 8.0
@@ -104,3 +106,74 @@ def weighted_ratio(a: str, b: str) -> float:
 
 def similarity(a: str, b: str) -> float:
     return weighted_ratio(prepared(a), prepared(b))
+
+
+class Texts:
+    """Many strings as rows of character numbers, for subsequences in common with one of them."""
+
+    def __init__(self, texts: list[str]) -> None:
+        known = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.codes = np.full((len(texts), int(self.size.max(initial=0))), len(known), np.int64)
+        self.counts = np.zeros((len(texts), len(known)), np.int32)
+        for row, text in enumerate(texts):
+            self.codes[row, : len(text)] = [known[c] for c in text]
+            np.add.at(self.counts[row], self.codes[row, : len(text)], 1)
+
+    def common(self, row: int, others: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences with a row; over 64 characters how many are in both, which is no less."""
+        n = int(self.size[row])
+        if n > 64:
+            return np.minimum(self.counts[others], self.counts[row]).sum(1)
+        masks = np.zeros(self.counts.shape[1] + 1, np.uint64)
+        np.bitwise_or.at(masks, self.codes[row, :n], np.uint64(1) << np.arange(n, dtype=np.uint64))
+        full = np.uint64((1 << n) - 1)
+        state = np.full(len(others), full)
+        for k in range(int(self.size[others].max(initial=0))):
+            hit = state & masks[self.codes[others, k]]
+            state = ((state + hit) | (state - hit)) & full
+        return n - np.bitwise_count(state).astype(np.int64)
+
+
+class Bounds:
+    """What weighted ratios of many prepared strings with others reach at most; mostly that is what they are.
+
+    A part of a string has no longer a subsequence in common with another string than the whole. Strings with repeated words aren't
+    bounded, as they are compared without the repeats too.
+    """
+
+    def __init__(self, texts: list[str]) -> None:
+        parts = [t.split() for t in texts]
+        numbers = {w: i for i, w in enumerate(sorted({w for p in parts for w in p}))}
+        self.whole, self.by_word = Texts(texts), Texts([" ".join(sorted(p)) for p in parts])
+        self.open = np.array([len(set(p)) < len(p) for p in parts], bool)
+        self.words = np.zeros((len(texts), len(numbers)), np.float32)
+        for row, p in enumerate(parts):
+            for w in p:
+                self.words[row, numbers[w]] = np.sqrt(len(w) + 1.0)
+
+    def reach(self, row: int, others: np.ndarray) -> np.ndarray:
+        """At least the weighted ratio of the string `row` with each of `others`, rows too."""
+        sizes = self.whole.size
+        if not sizes[row] or not len(others):
+            return np.zeros(len(others))
+
+        def ratios(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+            """Of whole strings; and at most those of the shorter one with parts of the longer."""
+            common, low, high = texts.common(row, others), np.minimum(texts.size[row], texts.size[others]), np.maximum(texts.size[row], texts.size[others])
+            return 200 * common / np.maximum(low + high, 1), 200 * common / np.maximum(low + common, 1)
+
+        plain, part = ratios(self.whole)
+        words, words_part = ratios(self.by_word)
+        # words in common, with the spaces between them, against each side and against what is left of both sides
+        a, b = float(self.by_word.size[row]), self.by_word.size[others].astype(float)
+        shared = np.minimum(np.round(self.words[others] @ self.words[row]) - 1, np.minimum(a, b))
+        shares = shared > 0
+        least = np.minimum(a, b)
+        left = 100 * np.maximum(1 - (least - shared) / np.maximum(least + shared, 1), 2 * np.minimum(self.by_word.counts[others], self.by_word.counts[row]).sum(1) / np.maximum(a + b, 1))
+        words = np.maximum(words, np.where(shares, left, 0))
+        spread = np.maximum(sizes[row], sizes[others]) / np.maximum(np.minimum(sizes[row], sizes[others]), 1)
+        weight = np.where(spread <= FAR_FROM, PARTIAL_WEIGHT, FAR_WEIGHT)
+        partly = np.maximum(weight * part, TOKEN_WEIGHT * weight * np.where(shares, 100.0, words_part))
+        out = np.maximum(plain, np.where(spread < PARTIAL_FROM, TOKEN_WEIGHT * words, partly)) + 1e-6
+        return np.where(sizes[others] == 0, 0.0, np.where(self.open[others] | self.open[row], 100.0, out))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.names import named
+from tidewater.session import checkpointed
+
 
 def null_counts(df: DataFrame) -> DataFrame:
     """(column_name, nulls) from one pass, most nulls first."""
@@ -43,14 +46,38 @@ def containing(df: DataFrame, column: str, *parts: str) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Quartiles and whiskers (the farthest values within 1.5 interquartile ranges) of each group."""
-    known = df.where(F.col(value).isNotNull() & ~F.isnan(value) & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
-    quartiles = known.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
-    inside = known.join(quartiles, "g").where((F.col("v") >= F.col("q")[0] - reach) & (F.col("v") <= F.col("q")[2] + reach))
-    whiskers = inside.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    joined = quartiles.join(whiskers, "g")
-    return joined.select(F.col("g").alias(group), "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
+    """Quartiles and whiskers (the farthest values within 1.5 interquartile ranges) of each group, exact.
+
+    Different values and their counts go to ranges of the order; a value's place is its place in the range and what earlier ranges
+    hold of the group, so no task gathers a group, however large.
+    """
+    g, v = named(group), named(value)
+    known = df.where(v.isNotNull() & ~F.isnan(v) & g.isNotNull()).select(g.alias("g"), v.alias("v"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = known.groupBy("g", "v").agg(F.count("*").alias("n")).repartitionByRange(ranges, "g", "v")
+    ranged = checkpointed(counts.withColumn("part", F.spark_partition_id()))
+    held = ranged.groupBy("g", "part").agg(F.sum("n").alias("n"))  # a row for each group in a range
+    by_group = Window.partitionBy("g")
+    based = held.select("g", "part", F.sum("n").over(by_group).alias("total"), (F.sum("n").over(by_group.orderBy("part")) - F.col("n")).alias("base"))
+    inside = F.sum("n").over(Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("end", inside).join(based, ["g", "part"]).withColumn("end", F.col("end") + F.col("base"))
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    parts = []
+    for name, share in shares.items():
+        at = (F.col("total") - 1) * share
+        for side, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            parts.append(F.max(F.when((F.col("end") - F.col("n") <= place) & (place < F.col("end")), F.col("v"))).alias(f"{name}_{side}"))
+    found = placed.groupBy("g").agg(F.first("total").alias("total"), *parts)
+
+    def between(name: str) -> Column:
+        at = (F.col("total") - 1) * shares[name]
+        return (F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (at - F.floor(at))).alias(name)
+
+    quartiles = found.select("g", *map(between, shares))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    near = ranged.join(quartiles, "g").where((F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach))
+    whiskers = near.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return quartiles.join(whiskers, "g").select(F.col("g").alias(group), "low", *shares, "high")
 
 
 def error_count_top(invalid: DataFrame, k: int = 10) -> DataFrame:
@@ -70,12 +97,17 @@ def outcome(annotated: DataFrame) -> DataFrame:
     return out.withColumn("share_invalid", F.coalesce(F.col("n_invalid") / F.nullif("n_rows", F.lit(0)), F.lit(0.0)))
 
 
+def _drawn(seed: int, value: Column) -> Column:
+    """A place in a seeded order: the MD5 digest of the seed and the value's text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), value.cast("string")))
+
+
 def sample_of(df: DataFrame, column: str, k: int, seed: int = 42) -> DataFrame:
-    """k values that aren't null, by the order of a seeded hash: the same ones whatever the partitions."""
-    own = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
-    return own.orderBy(F.xxhash64(F.lit(seed), F.col("value").cast("string")), "value").limit(k)
+    """k values that aren't null, by the order of a seeded digest: the same ones whatever the partitions."""
+    own = df.where(named(column).isNotNull()).select(named(column).alias("value"))
+    return own.orderBy(_drawn(seed, F.col("value")), "value").limit(k)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """All rows in a seeded order."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    return df.orderBy(_drawn(seed, named(key)), named(key))

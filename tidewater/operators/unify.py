@@ -12,45 +12,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.missing import strip
+from tidewater.functions.names import named, unused
 from tidewater.session import checkpointed
 
 #: Different names in a block; each pair of blocks is a task's work.
 BLOCK = 1000
+#: Different names that are compared unless more are asked for: twenty thousand tasks of a million pairs each.
+MOST_NAMES = 200_000
 
 
 def name_counts(df: DataFrame, column: str) -> DataFrame:
     """(name, n) of the stripped, non-empty names."""
-    return df.select(strip(F.col(column).cast("string")).alias("name")).where("name <> ''").groupBy("name").agg(F.count("*").alias("n"))
+    return df.select(strip(named(column).cast("string")).alias("name")).where("name <> ''").groupBy("name").agg(F.count("*").alias("n"))
 
 
 def similar_pairs(ranked: DataFrame, threshold: float, blocks: int) -> DataFrame:
-    """(a, b): places, a before b, of names scoring at least `threshold`. Names meet in pairs of blocks; only similar pairs come out."""
+    """(a, b): places, a before b, of names scoring at least `threshold`. Names meet in pairs of blocks; only similar pairs come out.
+
+    Scores are computed only where an exact upper bound, from the numbers of each character and the common words, reaches the threshold.
+    """
     own = F.pmod(F.xxhash64("rank"), F.lit(blocks))
     met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.least(own, k) * blocks + F.greatest(own, k))
     dealt = ranked.select("rank", "name", own.alias("block"), F.explode(met).alias("task"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from tidewater.functions.similarity import prepared, weighted_ratio
+        from tidewater.functions.similarity import Bounds, prepared, weighted_ratio
 
         task = int(pdf["task"].iloc[0])
-        rows = [(r, prepared(t), b) for r, t, b in zip(pdf["rank"], pdf["name"], pdf["block"])]
-        first = [x for x in rows if x[2] == task // blocks]
-        second = [x for x in rows if x[2] == task % blocks]
-        same = task // blocks == task % blocks
-        found = []
-        for r, text, _ in first:
-            for s, other, _ in second:
-                if (not same or r < s) and weighted_ratio(text, other) >= threshold:
-                    found.append((min(r, s), max(r, s)))
+        low, high = divmod(task, blocks)
+        pdf = pdf.sort_values("rank", ignore_index=True)
+        rank, block, texts = pdf["rank"].to_list(), pdf["block"].to_numpy(), [prepared(t) for t in pdf["name"]]
+        bounds, found = Bounds(texts), []
+        other = (block == high).nonzero()[0]
+        for i in (block == low).nonzero()[0].tolist():
+            against = other[other > i] if low == high else other
+            for j in against[bounds.reach(i, against) >= threshold].tolist():
+                if weighted_ratio(texts[i], texts[j]) >= threshold:
+                    found.append((rank[min(i, j)], rank[max(i, j)]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="object")
 
     return dealt.groupBy("task").applyInPandas(run, "a string, b string")
 
 
-def canonical_names(df: DataFrame, column: str, threshold: float = 80, block: int = BLOCK) -> DataFrame:
-    """(name, canonical) of the different names; of equally frequent ones the lesser text comes first."""
+def canonical_names(df: DataFrame, column: str, threshold: float = 80, block: int = BLOCK, most_names: int = MOST_NAMES) -> DataFrame:
+    """(name, canonical) of the different names; of equally frequent ones the lesser text comes first.
+
+    All different names are compared, so the work is quadratic in their number; more than `most_names` raise before it begins.
+    """
     counts = checkpointed(name_counts(df, column))
-    blocks = max(1, -(-counts.count() // block))
+    if (many := counts.count()) > most_names:
+        raise ValueError(f"{column} has {many} different names; comparing them takes {many * many // 2} pairs. Raise `most_names` to do so")
+    blocks = max(1, -(-many // block))
     # the place in the order of taking: a number with leading zeros that falls with the frequency, then the name
     place = F.concat(F.lpad(F.hex(F.lit(1 << 62) - F.col("n")), 16, "0"), F.col("name"))
     ranked = checkpointed(counts.select(place.alias("rank"), "name"))
@@ -68,9 +80,11 @@ def canonical_names(df: DataFrame, column: str, threshold: float = 80, block: in
     return of.join(ranked.select(F.col("rank").alias("leader"), F.col("name").alias("canonical")), "leader").select("name", "canonical")
 
 
-def unify_names(df: DataFrame, column: str, threshold: float = 80, block: int = BLOCK) -> DataFrame:
-    """`column` with each name as its group's leader; missing and blank names are null."""
-    names = canonical_names(df, column, threshold, block).withColumnsRenamed({"name": "__name", "canonical": "__canonical"})
-    stripped = F.nullif(strip(F.col(column).cast("string")), F.lit(""))
-    joined = df.withColumn("__stripped", stripped).join(names, F.col("__stripped") == F.col("__name"), "left")
-    return joined.withColumn(column, F.coalesce("__canonical", "__stripped")).select(*[F.col(f"`{c}`") for c in df.columns])
+def unify_names(df: DataFrame, column: str, threshold: float = 80, block: int = BLOCK, most_names: int = MOST_NAMES) -> DataFrame:
+    """`column` with each name as its group's leader; missing and blank names are null. Other columns may have any names."""
+    stripped, name, leader = unused(df, "stripped", "name", "leader")
+    names = canonical_names(df, column, threshold, block, most_names).select(F.col("name").alias(name), F.col("canonical").alias(leader))
+    given = df.withColumn(stripped, F.nullif(strip(named(column).cast("string")), F.lit("")))
+    joined = given.join(names, F.col(stripped) == F.col(name), "left")
+    unified = F.coalesce(leader, stripped).alias(column)
+    return joined.select(*[unified if c == column else named(c) for c in df.columns])

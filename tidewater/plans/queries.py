@@ -15,13 +15,13 @@ from tidewater.functions.missing import drop_blank_rows, read_missing
 from tidewater.functions.temporal import hours_between, iso8601, to_utc, use_utc
 from tidewater.functions.text import currency, squeeze, title_case
 from tidewater.operators import profile
-from tidewater.operators.contract import TICKETS, Contract, Rule, one_of
+from tidewater.operators.contract import CATEGORIES, EMAIL, PRIORITIES, STATUSES, TICKETS, Contract, Rule, one_of
 from tidewater.operators.flatten import flatten_json
 from tidewater.operators.impute import impute_by_group, interpolate
 from tidewater.operators.unify import unify_names
 from tidewater.plans.tickets import run_pipeline
 from tidewater.session import shared_folder
-from tidewater.sources.synthetic import dirty_tickets
+from tidewater.sources.synthetic import dirty_tickets, first_repeat, parts_of
 from tidewater.sources.tables import TICKET_COLUMNS, read_csv, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,12 +107,12 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, rows.schema)
 
 
-@query(None)
+@query("SELECT c_name AS value FROM customer ORDER BY md5('42:' || c_name), c_name LIMIT 10")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.sample_of(table(spark, sf_dir, "orders"), "o_totalprice", 10, seed=42)
+    return profile.sample_of(table(spark, sf_dir, "customer"), "c_name", 10, seed=42)
 
 
-@query(None)
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY md5('42:' || o_orderkey)")
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.shuffled(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", seed=42)
 
@@ -153,6 +153,7 @@ def parse_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- dates ------------------------------------------------------------------------------------------------------------
 
+#: Zones and patterns of the dates that the SQL below takes apart.
 _ZONES = ("", " Z", " EST", " CET", " +02:00", " PST")
 _PATTERNS = ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm", "MM/dd/yyyy hh:mm a", "MMMM dd, yyyy HH:mm", "dd-MMM-yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
 
@@ -280,13 +281,14 @@ def _order_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     fault = lambda n, bad, good: F.when(key % n == 0, bad).otherwise(good)
     return table(spark, sf_dir, "orders").select(
-        key.cast("string").alias("ticket_id"),
+        key,
+        fault(41, F.lit(""), F.concat(F.lit("T"), key.cast("string"))).alias("ticket_id"),
         fault(13, F.lit("?"), F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"))).alias("company_name"),
         fault(17, F.lit("nobody"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@example.com"))).alias("customer_email"),
         fault(19, F.lit(None), iso8601(F.col("o_orderdate").cast("timestamp"))).alias("created_at"),
-        F.lit(None).cast("string").alias("resolved_at"),
+        fault(43, F.lit("yesterday"), F.when(key % 3 != 0, iso8601(F.col("o_orderdate").cast("timestamp")))).alias("resolved_at"),
         fault(23, F.lit("Urgent"), F.lit("High")).alias("priority"),
-        F.lit("Open").alias("status"),
+        fault(47, F.lit("Lost"), text_choice(key, *map(F.lit, ("Open", "pending", "RESOLVED", "Closed")))).alias("status"),
         fault(29, F.lit(None), F.lit("Bug Report")).alias("category"),
         fault(31, F.lit("x"), F.lit("A. Agent")).alias("agent_name"),
         fault(37, F.lit(2e6), F.col("o_totalprice")).alias("cost"),
@@ -296,16 +298,17 @@ def _order_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FAULTS = """
 WITH f AS (SELECT o_orderkey, unnest([CASE WHEN o_orderkey % 13 = 0 THEN 'company_name' END, CASE WHEN o_orderkey % 17 = 0 THEN 'customer_email' END,
   CASE WHEN o_orderkey % 19 = 0 THEN 'created_at' END, CASE WHEN o_orderkey % 23 = 0 THEN 'priority' END, CASE WHEN o_orderkey % 29 = 0 THEN 'category' END,
-  CASE WHEN o_orderkey % 31 = 0 THEN 'agent_name' END, CASE WHEN o_orderkey % 37 = 0 THEN 'cost' END]) AS field FROM orders), g AS (
+  CASE WHEN o_orderkey % 31 = 0 THEN 'agent_name' END, CASE WHEN o_orderkey % 37 = 0 THEN 'cost' END, CASE WHEN o_orderkey % 41 = 0 THEN 'ticket_id' END,
+  CASE WHEN o_orderkey % 43 = 0 THEN 'resolved_at' END, CASE WHEN o_orderkey % 47 = 0 THEN 'status' END]) AS field FROM orders), g AS (
   SELECT o_orderkey, count(field) AS errors FROM f GROUP BY o_orderkey)
 """
 
 
-@query(_FAULTS + "SELECT o_orderkey::VARCHAR AS ticket_id, errors = 0 AS valid, errors FROM g")
+@query(_FAULTS + "SELECT o_orderkey, errors = 0 AS valid, errors FROM g")
 def validate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid, invalid = TICKETS.split(_order_tickets(spark, sf_dir))
-    good = valid.select("ticket_id", F.lit(True).alias("valid"), F.lit(0).cast("long").alias("errors"))
-    return good.unionByName(invalid.select("ticket_id", F.lit(False).alias("valid"), F.size("errors").cast("long").alias("errors")))
+    good = valid.select("o_orderkey", F.lit(True).alias("valid"), F.lit(0).cast("long").alias("errors"))
+    return good.unionByName(invalid.select("o_orderkey", F.lit(False).alias("valid"), F.size("errors").cast("long").alias("errors")))
 
 
 @query(_FAULTS + "SELECT field, count(*) AS n FROM f WHERE field IS NOT NULL GROUP BY field")
@@ -348,13 +351,14 @@ def _clean_order_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     created = F.date_trunc("minute", F.col("o_orderdate").cast("timestamp"))
     fault = lambda n, bad, good: F.when(key % n == 0, F.lit(bad)).otherwise(good)
+    resolved = F.timestamp_seconds(F.unix_seconds(created) + (key % 24 + 1) * 3600)
     meta = F.concat(F.lit('{"os": "Linux", "plan": {"seats": '), F.pmod(key, F.lit(50)).cast("string"), F.lit("}}"))
     columns = {
         "ticket_id": F.concat(F.lit("TCK-"), key.cast("string")),
         "company_name": fault(13, "-", text_choice(key, *map(F.lit, _NAMES))),
         "customer_email": F.concat(F.lit(" c"), F.col("o_custkey").cast("string"), F.lit("@example.com ")),
         "created_at": F.date_format(created, "yyyy-MM-dd HH:mm:ss"),
-        "resolved_at": fault(8, "null", F.date_format(created + F.expr("INTERVAL 5 HOURS"), "MMMM dd, yyyy HH:mm")),
+        "resolved_at": fault(8, "null", F.date_format(resolved, "MMMM dd, yyyy HH:mm")),
         "priority": text_choice(key, F.lit("LOW"), F.lit("high")),
         "status": F.lit("Open"),
         "category": fault(29, "?", F.lit("bug report")),
@@ -366,11 +370,17 @@ def _clean_order_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT * FROM orders WHERE o_orderkey % 50 <> 0), c AS (
+    """WITH t AS (SELECT *, CASE WHEN o_orderkey % 8 <> 0 THEN o_orderkey % 24 + 1.0::DOUBLE END AS x,
+    row_number() OVER (ORDER BY date_trunc('minute', o_orderdate), 'TCK-' || o_orderkey) AS p FROM orders WHERE o_orderkey % 50 <> 0), k AS (
+  SELECT *, last_value(x IGNORE NULLS) OVER b AS x0, last_value(CASE WHEN x IS NOT NULL THEN p END IGNORE NULLS) OVER b AS p0,
+         first_value(x IGNORE NULLS) OVER a AS x1, first_value(CASE WHEN x IS NOT NULL THEN p END IGNORE NULLS) OVER a AS p1
+  FROM t WINDOW b AS (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), c AS (
   SELECT o_orderkey, o_orderkey % 13 = 0 OR o_orderkey % 29 = 0 AS bad, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 50 END AS seats,
-    coalesce(CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END, avg(CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END) OVER (PARTITION BY o_orderkey % 29 = 0)) AS cost FROM t
+    coalesce(x, x0 + (x1 - x0) * (p - p0) / (p1 - p0), x0, x1) AS hours,
+    coalesce(CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END, avg(CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END) OVER (PARTITION BY o_orderkey % 29 = 0)) AS cost FROM k
 )
-SELECT bad, count(*) AS n, round(sum(cost), 0) AS cost, round(sum(5.0::DOUBLE), 2) AS hours, count(seats) AS with_seats, sum(seats)::BIGINT AS seats FROM c GROUP BY bad"""
+SELECT bad, count(*) AS n, round(sum(cost), 0) AS cost, round(sum(hours), 2) AS hours, count(seats) AS with_seats, sum(seats)::BIGINT AS seats FROM c GROUP BY bad"""
 )
 def pipeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ticket plan over tickets made of orders, summed up by outcome."""
@@ -389,12 +399,64 @@ def generate_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirty_tickets(spark, table(spark, sf_dir, "orders").count())
 
 
+#: Shares in hundredths, of a table of so many rows: each is right if it is nearer than four standard deviations to what is asked for.
+_SHARES = {"company_name": 0.04, "priority": 0.04, "category": 0.04, "agent_name": 0.04, "cost": 0.04, "resolved_at": 0.08}
+
+
+@query(
+    """WITH o AS (SELECT count(*) AS n FROM orders)
+SELECT n AS n_rows, (n * 0.005)::DOUBLE // 1 AS blanks, (n * 0.03)::DOUBLE // 1 AS repeats, n - (n * 0.005)::DOUBLE // 1 AS ids, 0::BIGINT AS bad_mails,
+       0::BIGINT AS bad_metadata, 0::BIGINT AS bad_words, 0::BIGINT AS bad_dates, 0::BIGINT AS bad_costs, true AS shares FROM o"""
+)
+def generated_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for synthetic tickets: numbers of rows, blank rows, repeats and ids; values that no operator could read; shares missing."""
+    many = table(spark, sf_dir, "orders").count()
+    t = dirty_tickets(spark, many)
+    lost = {c: F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("", "nan", "none", "null", "n/a", "na", "-", "?") for c in t.columns}
+    given = {c: F.col("ticket_id").isNotNull() & ~lost[c] for c in t.columns}
+    words = {"priority": PRIORITIES, "status": STATUSES, "category": CATEGORIES}
+    near = F.lit(True)
+    for c, share in _SHARES.items():
+        n = F.count("ticket_id")
+        near = near & (F.abs(F.count_if(F.col("ticket_id").isNotNull() & lost[c]) / n - share) < 4 * F.sqrt(F.lit(share * (1 - share)) / n))
+    out = t.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(F.col("ticket_id").isNull() & F.col("customer_email").isNull() & F.col("user_metadata").isNull()).cast("double").alias("blanks"),
+        F.count_if(F.substring("ticket_id", 5, 20).cast("long") >= first_repeat(parts_of(many)[0])).cast("double").alias("repeats"),
+        F.count_distinct("ticket_id").cast("double").alias("ids"),
+        F.count_if(given["customer_email"] & ~F.rlike("customer_email", F.lit(EMAIL))).alias("bad_mails"),
+        F.count_if(given["user_metadata"] & F.try_parse_json("user_metadata").isNull()).alias("bad_metadata"),
+        sum((F.count_if(given[c] & ~F.lower(c).isin(*w)) for c, w in words.items()), F.lit(0)).cast("long").alias("bad_words"),
+        sum((F.count_if(given[c] & to_utc(F.col(c)).isNull()) for c in ("created_at", "resolved_at")), F.lit(0)).cast("long").alias("bad_dates"),
+        F.count_if(given["cost"] & currency(F.col("cost")).isNull()).alias("bad_costs"),
+        near.alias("shares"),
+    )
+    return out
+
+
 @query(None)
 def clean_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid rows of the ticket plan over synthetic tickets."""
     return run_pipeline(spark, generate_tickets(spark, sf_dir))[0]
 
 
+@query(
+    """WITH o AS (SELECT count(*) AS n FROM orders)
+SELECT n - ((n * 0.005)::DOUBLE // 1)::BIGINT AS n_rows, 0::BIGINT AS unread, 0::BIGINT AS without_hours, 0::BIGINT AS without_cost, true AS names_unified FROM o"""
+)
+def clean_generated_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for cleansed synthetic tickets: no row but blank ones goes, dates are read, and gaps are filled."""
+    valid, invalid = run_pipeline(spark, generate_tickets(spark, sf_dir))
+    rows = valid.unionByName(invalid.drop("errors", "validation_error"))
+    return rows.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(F.col("created_at").isNull()).alias("unread"),
+        F.count_if(F.col("response_time_hours").isNull()).alias("without_hours"),
+        F.count_if(F.col("cost").isNull()).alias("without_cost"),
+        (F.count_distinct("company_name") <= 40).alias("names_unified"),
+    )
+
+
 @query("SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') AS urgent FROM orders")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", one_of("1-urgent", "2-high")(F.col("o_orderpriority")).alias("urgent"))
