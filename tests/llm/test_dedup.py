@@ -20,11 +20,11 @@ from tidewater.llm.window_dedup import drop_windows, window_digests
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Columns whose names the operators use themselves.
-CLASHING = "k1 string, k2 string, row string, body string, spans string, anchor string, fp string, id string, part string, h1 string"
+CLASHING = "k1 string, k2 string, row string, body string, spans string, anchor string, fp string, id string, part string, h1 string, _ string, found string, node string, `a.b` string"
 
 
 def frame(spark, rows, parts=3):
-    return spark.createDataFrame([(i, t, *["x"] * 10) for i, t in rows], "doc_id long, text string, " + CLASHING).repartition(parts)
+    return spark.createDataFrame([(i, t, *["x"] * 14) for i, t in rows], "doc_id long, text string, " + CLASHING).repartition(parts)
 
 
 def as_set(df):

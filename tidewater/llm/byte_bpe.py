@@ -22,11 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import slices, text_of
+from tidewater.llm.common import Memory, mapped, slices, text_of
 
-#: Pre-tokens and pairs remembered by a worker; each memory is emptied when full.
-MEMORY = 700_000
-PAIRS = 1_000_000
+#: Bytes that a worker may use to remember pre-tokens, and pairs that it remembers; each memory is emptied when full.
+MEMORY, PAIRS = 60 << 20, 400_000
 #: Characters of a text beyond which its words are listed bit by bit.
 PIECE = 1 << 20
 
@@ -47,7 +46,7 @@ class ByteBpe:
         self.joined = {pair: rank for rank, pair in enumerate(self.halves) if pair is not None}
         self.shorter = [self._shorter(t) for t in self.bytes_of]
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(MEMORY)
 
     # -- tables -------------------------------------------------------------------------------------------------
 
@@ -141,17 +140,14 @@ class ByteBpe:
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a text, each match of the pattern by itself."""
-        known, out = self.known, []
+        out = []
         if len(text) <= PIECE:
             words = [self.words.findall(text)]
         else:
             matches = self.words.finditer(text)
             words = iter(lambda: [m[0] for m in islice(matches, PIECE // 8)], [])
         for some in words:
-            fresh = set(some).difference(known)
-            if len(known) + len(fresh) > MEMORY:
-                known.clear()
-                fresh = set(some)
+            fresh, known = self.known.missing(set(some)), self.known.known
             for word in fresh:
                 ids = self.encode_word(word.encode("utf-8"))
                 known[word] = pack(f"<{len(ids)}I", *ids)
@@ -183,7 +179,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, *, id_col: str =
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[id_col, "ids"])
 
     given = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return given.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<long>")
+    return mapped(given, run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<long>")
 
 
 def decode_documents(encoded: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -196,7 +192,7 @@ def decode_documents(encoded: DataFrame, ranks: str, pattern: str, *, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=[id_col, "bytes"])
 
     given = encoded.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.array().cast("array<long>")).alias("ids"))
-    return given.mapInArrow(run, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, bytes binary")
+    return mapped(given, run, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, bytes binary")
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,4 +215,4 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     given = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return given.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(given, run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tidewater.session import shared_folder
 
-#: Bytes of text that a Python worker works on at a time; longer texts are one slice each.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a Python worker works on at a time, and of an Arrow batch; longer texts are one slice and one batch each.
+SLICE_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +83,67 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         yield batch.slice(start), array.slice(start).to_pylist()
 
 
+def _trim(run: Callable) -> Callable:
+    """`run`, after which a worker gives freed memory back, since it may serve other stages."""
+
+    @wraps(run)
+    def trimmed(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return trimmed
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most in this session, unless smaller ones are set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(name)).rstrip("b") == str(64 << 20):  # Spark's default
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in small batches, from workers that keep little memory."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(_trim(run), schema)
+
+
+def column_of(spark: SparkSession, run: Callable[[Iterator], Iterator[pa.Array]], kind: str) -> Callable[..., Column]:
+    """A column that Python computes from others, batch by batch; all other columns of a row stay in the JVM."""
+    small_batches(spark)
+    trimmed = _trim(run)
+
+    @F.arrow_udf(kind)
+    def computed(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return trimmed(batches)
+
+    return computed
+
+
+class Memory:
+    """What a worker remembers of strings, up to about so many bytes; emptied when full."""
+
+    #: Bytes of an entry besides the string's characters.
+    ENTRY = 220
+
+    def __init__(self, limit: int) -> None:
+        self.known: dict = {}
+        self.limit, self.held = limit, 0
+
+    def missing(self, wanted: set) -> list:
+        """Those that aren't known, for which there is room now; what was known may be gone, and then all are missing."""
+        fresh = wanted.difference(self.known)
+        size = sum(map(len, fresh)) + self.ENTRY * len(fresh)
+        if self.held + size > self.limit and self.known:
+            self.known.clear()
+            self.held, fresh = 0, wanted
+            size = sum(map(len, fresh)) + self.ENTRY * len(fresh)
+        self.held += size
+        return list(fresh)
+
+
 def partitions_for(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, partitions_for, slices, text_of
+from tidewater.llm.common import Scratch, mapped, partitions_for, slices, text_of
 from tidewater.llm.token_counts import word_bpe
 
 #: Settings that are tried; the one with the fewest sequences counts: how many of the large pieces fit into a sequence at most,
@@ -208,7 +208,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, ca
 
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return given.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return mapped(given, run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(

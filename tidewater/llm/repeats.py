@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, partitions_for, row_key, text_of
+from tidewater.llm.common import Scratch, mapped, partitions_for, row_key, text_of
 
 #: Units that are hashed at a time (a power of two); contexts that are compared at a time.
 CHUNK, TOGETHER = 1 << 20, 40_000
@@ -116,9 +116,9 @@ def _ranges(found: np.ndarray, anchor_at: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def keyed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k1, k2, body, row): row is a struct of the other columns."""
-    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    return docs.select(*row_key(id_col, text_col), text_of(text_col).alias("body"), others.alias("row"))
+    """(k1, k2, body, row): row is a struct of the other columns, with their names and whatever these are."""
+    others = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != text_col]
+    return docs.select(*row_key(id_col, text_col), text_of(text_col).alias("body"), F.struct(*(others or [F.lit(0).alias("no_columns")])).alias("row"))
 
 
 def anchors_of(keyed: DataFrame, find: Callable[[list[bytes]], Runs]) -> DataFrame:
@@ -131,7 +131,7 @@ def anchors_of(keyed: DataFrame, find: Callable[[list[bytes]], Runs]) -> DataFra
                 arrays = [pa.array(anchor), pa.array(keys[0][owner]), pa.array(keys[1][owner]), pa.array(place)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "k1", "k2", "place"])
 
-    return keyed.select("k1", "k2", "body").mapInArrow(anchored, "anchor long, k1 long, k2 long, place long")
+    return keyed.select("k1", "k2", "body").transform(mapped, anchored, "anchor long, k1 long, k2 long, place long")
 
 
 def with_spans(
@@ -229,7 +229,7 @@ def with_spans(
 
     # row isn't needed here, but with it both joins read the same exchange of the documents
     asked = both.join(lists, ["k1", "k2"]).select("k1", "k2", "body", "row", "anchors")
-    found = asked.mapInArrow(contexts, schema).repartition(parts, "anchor").sortWithinPartitions("anchor")
+    found = asked.transform(mapped, contexts, schema).repartition(parts, "anchor").sortWithinPartitions("anchor")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -271,7 +271,7 @@ def with_spans(
         if waiting:
             yield out(pa.Table.from_batches(waiting).combine_chunks())
 
-    ranges = found.mapInArrow(compared, "k1 long, k2 long, first long, last long")
+    ranges = found.transform(mapped, compared, "k1 long, k2 long, first long, last long")
     spans = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     return both.join(spans, ["k1", "k2"], "left")
 
@@ -284,7 +284,6 @@ def removed_runs(spans: np.ndarray, length: int) -> np.ndarray:
     return np.column_stack([spans[opens, 0], ends[np.append(np.flatnonzero(opens)[1:] - 1, len(spans) - 1)]])
 
 
-def spans_of(batch: pa.RecordBatch) -> Iterator[np.ndarray | None]:
-    column = batch.column(batch.schema.get_field_index("spans"))
+def spans_of(column: pa.Array) -> Iterator[np.ndarray | None]:
     for value in column:
         yield np.column_stack([value.values.field(k).to_numpy() for k in range(2)]) if value.is_valid and len(value.values) else None

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, partitions_for, row_key, slices, text_of
+from tidewater.llm.common import Scratch, mapped, partitions_for, row_key, slices, text_of
 from tidewater.llm.components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found)], names=["id", "k1", "k2", "fp"])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), *row_key(id_col, text_col), text_of(text_col).alias("text"))
-    return given.mapInArrow(run, "id long, k1 long, k2 long, fp long")
+    return given.transform(mapped, run, "id long, k1 long, k2 long, fp long")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -262,8 +262,8 @@ def links(distinct: DataFrame, distance: int, parts: int) -> DataFrame:
         if held_key:
             yield from out(np.concatenate(held_key), np.concatenate(held_fp))
 
-    buckets = distinct.select("fp").mapInArrow(keyed, "key long, fp long").repartition(parts, "key").sortWithinPartitions("key")
-    return buckets.mapInArrow(compared, "a long, b long").distinct()
+    buckets = distinct.select("fp").transform(mapped, keyed, "key long, fp long").repartition(parts, "key").sortWithinPartitions("key")
+    return buckets.transform(mapped, compared, "a long, b long").distinct()
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

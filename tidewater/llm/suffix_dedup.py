@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import column_of
 from tidewater.llm.repeats import Runs, anchors_of, keyed_documents, pieces, placed_runs, powers, removed_runs, spans_of, with_spans
 
 #: Bytes of an anchor; the shallow depth.
@@ -225,17 +226,16 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     row is a struct of the other columns of the input row, whatever their names. Nulls, repeats and empty tables as in
     `repeat_digests`.
     """
-    joined = _joined(docs, id_col, text_col, length).select("row", "body", "spans")
-    schema = joined.select("row", F.col("body").alias("kept_text")).schema
+    joined = _joined(docs, id_col, text_col, length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for bodies, spans_ in batches:
             kept = []
-            for body, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), spans_of(batch)):
-                kept.append(body if spans is None else _cut(body, _to_characters(body, removed_runs(spans, length))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string())], names=["row", "kept_text"])
+            for body, spans in zip(bodies.cast(pa.binary()), spans_of(spans_)):
+                kept.append(body.as_py() if spans is None else _cut(text := body.as_py(), _to_characters(text, removed_runs(spans, length))))
+            yield pa.array(kept, pa.binary()).cast(pa.string())
 
-    return joined.mapInArrow(run, schema)
+    return joined.select("row", column_of(docs.sparkSession, run, "string")("body", "spans").alias("kept_text"))
 
 
 def repeat_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
@@ -245,20 +245,20 @@ def repeat_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     strings are judged on the input. A null text is empty. Each row is a document, even if ids are null or repeated: a
     repeated row repeats all its strings. An empty table gives no rows; other columns are left out.
     """
-    joined = _joined(docs.select(id_col, text_col), id_col, text_col, length).select("row", "body", "spans")
-    kind = docs.schema[id_col].dataType.simpleString()
+    joined = _joined(docs.select(id_col, text_col), id_col, text_col, length)
+    columns = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for bodies, spans_ in batches:
             sizes, removed, runs_, digests = [], [], [], []
-            for body, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), spans_of(batch)):
+            for value, spans in zip(bodies.cast(pa.binary()), spans_of(spans_)):
+                body = value.as_py()
                 runs = np.empty((0, 2), np.int64) if spans is None else removed_runs(spans, length)
                 sizes.append(len(body))
                 removed.append(int((runs[:, 1] - runs[:, 0]).sum()))
                 runs_.append(len(runs))
                 digests.append(hashlib.sha256(_cut(body, runs)).hexdigest())
-            ids = batch.column(0).field(batch.column(0).type.get_field_index(id_col))
-            arrays = [ids, *(pa.array(x, pa.int64()) for x in (sizes, removed, runs_)), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip((sizes, removed, runs_, digests), columns.values())], list(columns))
 
-    return joined.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = column_of(docs.sparkSession, run, "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>")("body", "spans")
+    return joined.select(F.col("row").getField(id_col).alias(id_col), found.alias("found")).select(id_col, "found.*")

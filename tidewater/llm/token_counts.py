@@ -19,15 +19,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import slices, text_of
+from tidewater.llm.common import Memory, mapped, slices, text_of
 
 #: Fixed value: the pattern of pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters of texts that split() parts as the pattern does: of Latin-1, white space, visible ASCII, and letters.
 PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *(b for b in range(0x80, 0x100) if unicodedata.category(chr(b))[0] == "L")])
 _NONE = np.int32(np.iinfo(np.int32).max)
-#: Units remembered by a worker; the memory is emptied when full.
-MEMORY = 400_000
+#: Bytes that a worker may use to remember units, for counts and for ids.
+MEMORY = 40 << 20
 #: Characters of a text that are split into words at a time; cut at white space, which this kind of vocabulary drops.
 PIECE = 1 << 20
 
@@ -93,8 +93,7 @@ class WordBpe:
         self.by_space = pattern == PATTERN
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.known: dict[str, int] = {}
-        self.known_ids: dict[str, bytes] = {}
+        self.known, self.known_ids = Memory(MEMORY), Memory(MEMORY)
 
     # -- rank-synchronous merging -------------------------------------------------------------------------------
 
@@ -192,14 +191,11 @@ class WordBpe:
         totals: list[int] = []
 
         def settle() -> None:
-            fresh = list(set(flat).difference(self.known))
-            if len(self.known) + len(fresh) > MEMORY:
-                self.known.clear()
-                fresh = list(set(flat))
+            fresh, known = self.known.missing(set(flat)), self.known.known
             for at in range(0, len(fresh), 200_000):
                 some = fresh[at : at + 200_000]
-                self.known.update(zip(some, self.tokens_of(some)[1].tolist()))
-            each = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+                known.update(zip(some, self.tokens_of(some)[1].tolist()))
+            each = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
             ends = np.cumsum(np.array(sizes, np.int64))
             sums = np.concatenate([[0], np.cumsum(each)])
             totals.extend((sums[ends] - sums[ends - np.array(sizes, np.int64)] + np.array(extra, np.int64)).tolist())
@@ -228,14 +224,9 @@ class WordBpe:
 
     def packed_ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.known_ids
         stretches = [list(self.segments(text or "")) for text in texts]
         every = set().union(*[units for parts in stretches for units, _ in parts])
-        fresh = every.difference(known)
-        if len(known) + len(fresh) > MEMORY:
-            known.clear()
-            fresh = every
-        fresh = list(fresh)
+        fresh, known = self.known_ids.missing(every), self.known_ids.known
         for at in range(0, len(fresh), 200_000):
             some = fresh[at : at + 200_000]
             ids, many = self.tokens_of(some)
@@ -294,5 +285,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n], names=[id_col, "n_bytes", "n_tokens"])
 
     given = docs.select(F.col(id_col).alias("id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), text_of(text_col).alias("text"))
-    counted = given.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long")
+    counted = mapped(given, run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import slices, text_of
+from tidewater.llm.common import column_of, mapped, slices, text_of
 from tidewater.llm.words import SIGNS, word_hashes
 
 #: Labelled rows that a chain is trained on at most, features of each category, and the bytes of a word's beginning.
@@ -208,7 +208,7 @@ def train_on(docs: DataFrame, labelled: DataFrame, categories: dict[str, Column]
             own = [np.unique(x) for x in np.split(hashed, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in own], pa.binary())], names=["key", "flags", "features"])
 
-    found = given.mapInArrow(run, "key long, flags array<int>, features binary").toArrow()
+    found = given.transform(mapped, run, "key long, flags array<int>, features binary").toArrow()
     order = np.argsort(found["key"].to_numpy(), kind="stable")
     keys = found["key"].to_numpy()[order]
     order = order[np.append(True, keys[1:] != keys[:-1])] if len(keys) else order
@@ -220,20 +220,24 @@ def train_on(docs: DataFrame, labelled: DataFrame, categories: dict[str, Column]
 def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, probabilities) for each input row: a struct of all its columns, and the categories' probabilities in order.
 
-    A null or empty text has no features and gets the probabilities of none; an empty table gives no rows.
+    A null or empty text has no features and gets the probabilities of none; an empty table gives no rows. Texts go to Python once,
+    and only probabilities come back.
     """
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of(text_col).alias("text"))
-    schema = given.select("row", F.array(F.lit(0.0)).alias("probabilities")).schema
     held = docs.sparkSession.sparkContext.broadcast(chain)  # a few thousand weights
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = held.value
-        for part, texts in slices(batches, "text"):
-            p = model.predict(model.rows(*features(texts)))
+        for batch in batches:
+            found = [np.zeros((0, len(model.models)))]
+            for _, texts in slices([pa.RecordBatch.from_arrays([batch], names=["text"])], "text"):
+                found.append(model.predict(model.rows(*features(texts))))
+            p = np.concatenate(found)
             ends = pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=["row", "probabilities"])
+            yield pa.ListArray.from_arrays(ends, pa.array(p.ravel()))
 
-    return given.mapInArrow(run, schema)
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    scored = column_of(docs.sparkSession, run, "array<double>")(text_of(text_col))
+    return docs.select(whole.alias("row"), scored.alias("probabilities"))
 
 
 def label_categories(labelled: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", most: int = LABELLED, languages: int = 8) -> dict[str, Column]:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import mapped
+
 #: Vectors in a shard at most, points in a leaf, and neighbours kept beyond k until products are computed anew.
 SHARD_ROWS, LEAF, SPARE = 65_536, 256, 12
 
@@ -187,7 +189,7 @@ def nearest(
             arrays = [pa.array(some[who[top]]), pa.array(found[top]), pa.array(score[top])]
             yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
 
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = dealt.transform(mapped, run, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch
+from tidewater.llm.common import Scratch, column_of
 from tidewater.llm.repeats import CHUNK, Runs, anchors_of, keyed_documents, pieces, placed_runs, removed_runs, spans_of, with_spans
 from tidewater.llm.runs import LevelledRuns
 from tidewater.llm.words import SPACES, word_hashes
@@ -134,24 +134,24 @@ def drop_windows(
         index.add(keyed.where(F.pmod(F.xxhash64("k1"), F.lit(batches)) == k))
     joined = with_spans(
         keyed, index.anchors(keyed), index.twice(), contexts_of=cut_words, same_contexts=same_texts, repeated=repeated_windows, length=length
-    ).select("row", "body", "spans")
+    )
 
-    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
+    def run(batches_: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for bodies, spans_ in batches_:
             n, removed, kept = [], [], []
-            for body, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), spans_of(batch)):
-                words = body.split()
+            for body, spans in zip(bodies.cast(pa.binary()), spans_of(spans_)):
+                words = body.as_py().split()
                 n.append(len(words))
                 if spans is not None:
                     for begin, end in removed_runs(spans, length)[::-1].tolist():
                         del words[begin:end]
                 removed.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "n_words", "n_removed", "kept_text"])
+            kept = pa.array(kept, pa.binary()).cast(pa.string())
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(removed, pa.int64()), kept], ["n_words", "n_removed", "kept_text"])
 
-    schema = joined.select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("body").alias("kept_text")).schema
-    return joined.mapInArrow(run, schema)
+    found = column_of(docs.sparkSession, run, "struct<n_words:long,n_removed:long,kept_text:string>")("body", "spans")
+    return joined.select("row", found.alias("found")).select("row", "found.*")
 
 
 def window_digests(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
