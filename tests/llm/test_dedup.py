@@ -3,16 +3,18 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidewater.llm.common import Scratch
 from tidewater.llm.components import components
 from tidewater.llm.exact_dedup import exact_duplicates
 from tidewater.llm.line_dedup import line_digests
+from tidewater.llm.runs import LevelledRuns
 from tidewater.llm.simhash import bucket_keys, keep_one_of_each, links, near_duplicates
 from tidewater.llm.similar import keep_one_of_similar, set_keys, shingles, similar
 from tidewater.llm.suffix_dedup import BlindTrie, common_prefix, deep_shallow, drop_repeats, repeat_digests
@@ -70,8 +72,6 @@ def test_exact_groups(spark, keep):
 
 
 def test_exact_empty_and_normalised(spark):
-    from pyspark.sql import functions as F
-
     df = frame(spark, [(1, " A "), (2, "a")])
     assert exact_duplicates(df.limit(0)).count() == 0
     assert {r["group_size"] for r in exact_duplicates(df, normalise=lambda c: F.lower(F.trim(c))).collect()} == {2}
@@ -101,9 +101,39 @@ def test_shared_lines(spark):
     rows = ODD + [(100 + i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 8)))) for i in range(80)]
     assert as_set(line_digests(frame(spark, rows), least_docs=10)) == lines_brute(rows, 10)
     assert as_set(line_digests(frame(spark, rows), least_docs=3, batches=6)) == lines_brute(rows, 3)
+    assert as_set(line_digests(frame(spark, rows), least_docs=3, broadcast_rows=0)) == lines_brute(rows, 3)  # both sides sorted
     assert line_digests(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_lines_of_later_days(spark, tmp_path):
+    """Day two goes through the runs of day one alone, and what it brings to the limit goes from then on."""
+    index = "file://" + str(tmp_path / "lines")
+    days = [[(10 * d + k, f"daily {d}\nheader\nown {d} {k}\nrare {k}") for k in range(4)] for d in range(4)]
+    left = []
+    for day in days:
+        found = line_digests(frame(spark, day), least_docs=6, batches=2, index=index).collect()
+        left.append({r["doc_id"]: (r["n_dropped"], r["kept_sha256"]) for r in found})
+    assert left[0] == {i: (0, sha(t)) for i, t in days[0]}
+    for d in (1, 2, 3):  # 8, 12 and 16 documents have the header by then
+        assert left[d] == {i: (1, sha(t.replace("header\n", ""))) for i, t in days[d]}
+    again = LevelledRuns(spark, index, ["h1", "h2"])
+    assert len(again.names()) < 8 and any(level > 0 for level, _ in again.names())
+    total = again._read([n for _, n in again.names()]).groupBy("h1", "h2").agg(F.max("total").alias("n"))
+    assert {r["n"] for r in total.collect()} == {16, 4, 1}
+
+
+def test_runs_carry_totals(spark, tmp_path):
+    runs, count = LevelledRuns(spark, "file://" + str(tmp_path / "runs"), ["k"]), Counter()
+    rng = random.Random(3)
+    for _ in range(8):
+        batch = Counter(rng.choices("abcdefgh", k=5))
+        count.update(batch)
+        run = runs.add(spark.createDataFrame(list(batch.items()), "k string, n long"))
+        assert {r["k"]: r["total"] for r in run.collect()} == {k: count[k] for k in batch}
+        runs.compact()
+        assert all(len([1 for at, _ in runs.names() if at == level]) < 3 for level, _ in runs.names())
+
+
 # -- SimHash ----------------------------------------------------------------------------------------------------------
 
 
@@ -406,12 +436,19 @@ def windows_brute(rows, length):
     return sorted(out, key=str)
 
 
-def test_repeated_windows_like_brute_force(spark):
+def test_repeated_windows_like_brute_force(spark, tmp_path):
     rows = passages(11, "a b c d ab é".split(), lambda r: r.choice([" ", "\n", " \t "]), [5, 30, 34, 35, 36, 60, 200])
     df = frame(spark, rows)
     assert as_set(window_digests(df)) == windows_brute(rows, 35)
     assert as_set(window_digests(df, length=12, batches=5)) == windows_brute(rows, 12)
     assert window_digests(df.limit(0)).count() == 0
+    index = "file://" + str(tmp_path / "windows")  # in three days, each of which knows of the earlier ones
+    days = [rows[k::3] for k in range(3)]
+    for k, day in enumerate(days):
+        known = [x for d in days[: k + 1] for x in d]
+        expected = Counter(windows_brute(known, 35))
+        found = Counter(as_set(window_digests(frame(spark, day), batches=2, index=index)))
+        assert sum(found.values()) == len(day) and not found - expected
     assert drop_windows(df).columns == ["row", "n_words", "n_removed", "kept_text"]
 
 

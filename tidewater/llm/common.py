@@ -29,29 +29,69 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class files:  # noqa: N801
+    """A folder on whatever file system its path names."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.root = self.path(root)
+        self.system = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def folders(self) -> list[str]:
+        if not self.system.exists(self.root):
+            return []
+        return [s.getPath().getName() for s in self.system.listStatus(self.root) if s.isDirectory()]
+
+    def exists(self, name: str) -> bool:
+        return self.system.exists(self.path(self.root, name))
+
+    def delete(self, name: str | None = None) -> None:
+        self.system.delete(self.path(self.root, name) if name else self.root, True)
+
+
 class Scratch:
-    """Tables written under the shared folder for one run of an operator; they cut lineage and outlive executors."""
+    """Tables written under the shared folder for one run of an operator; they cut lineage and outlive executors.
+
+    An operator drops what its result doesn't read. What the result does read stays until release(), since only the caller knows
+    when it has been consumed.
+    """
+
+    #: Folders of each application that weren't released yet.
+    folders: dict[str, list[str]] = {}
 
     def __init__(self, spark: SparkSession, purpose: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
         self.made: set[str] = set()
+        self.folders.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        writer = df.write.mode("overwrite").option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         self.made.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing will read again."""
-        self._delete(f"{self.root}/{name}")
+        files(self.spark, self.root).delete(name)
         self.made.discard(name)
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    def drop_but(self, *starts: str) -> None:
+        """Delete the tables whose names don't begin so."""
+        for name in [n for n in self.made if not n.startswith(starts)]:
+            self.drop(name)
+
+
+def release(spark: SparkSession, but: tuple[str, ...] = ()) -> None:
+    """Delete the scratch tables of this application except those under `but`; results that read them have to be consumed before."""
+    own = Scratch.folders.get(spark.sparkContext.applicationId, [])
+    for root in [r for r in own if r not in but]:
+        files(spark, root).delete()
+        own.remove(root)
 
 
 def text_of(column: str) -> Column:

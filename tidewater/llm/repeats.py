@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, mapped, partitions_for, row_key, text_of
+from tidewater.llm.common import mapped, partitions_for, row_key, text_of
 
 #: Units that are hashed at a time (a power of two); contexts that are compared at a time.
 CHUNK, TOGETHER = 1 << 20, 40_000
@@ -143,18 +143,16 @@ def with_spans(
     same_contexts: Callable[[list[bytes]], np.ndarray],
     repeated: Callable[..., np.ndarray],
     length: int,
-    scratch: Scratch | None = None,
 ) -> DataFrame:
     """`keyed` with spans, an array of first and last starts of repeated windows (null: none).
 
-    twice: the anchors that occur twice or more (anchor, n), distinct. contexts_of: of a text, a function that cuts out the
+    twice: the anchors that occur twice or more (anchor, n), distinct, as a table of its own, so that both sides of the join with it are
+    plain exchanges and a hot anchor can be split. contexts_of: of a text, a function that cuts out the
     context of so many windows from a start. same_contexts: numbers that are equal for equal contexts. repeated: which windows
     of some contexts occur in others. The documents are dealt out by their keys once and used twice.
     """
     spark = keyed.sparkSession
     parts = partitions_for(spark)
-    # as a table of its own, so that both sides of the join are plain exchanges and a hot anchor can be split
-    twice = (scratch or Scratch(spark, "repeats")).write(twice, "twice")
     wanted = anchors.join(twice.hint("merge"), "anchor").withColumn("hot", F.col("n") > HOT)
     lists = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "place", "hot")).alias("anchors"))
     both = keyed.repartition(parts, "k1", "k2")
@@ -213,7 +211,7 @@ def with_spans(
         for batch in batches:
             k1, k2 = (batch.column(k).to_pylist() for k in range(2))
             bodies = batch.column(2).cast(pa.binary())
-            lists_ = batch.column(4)
+            lists_ = batch.column(batch.num_columns - 1)
             offsets = lists_.offsets.to_numpy() - lists_.offsets[0].as_py()
             flat = lists_.flatten()
             anchor, place, hot = (flat.field(k).to_pylist() for k in range(3))
@@ -227,8 +225,8 @@ def with_spans(
         if held:
             yield from out()
 
-    # row isn't needed here, but with it both joins read the same exchange of the documents
-    asked = both.join(lists, ["k1", "k2"]).select("k1", "k2", "body", "row", "anchors")
+    # the other columns aren't needed here, but with them both joins read the same exchange of the documents
+    asked = both.join(lists, ["k1", "k2"]).select("k1", "k2", "body", *[c for c in keyed.columns if c not in ("k1", "k2", "body")], "anchors")
     found = asked.transform(mapped, contexts, schema).repartition(parts, "anchor").sortWithinPartitions("anchor")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import column_of
+from tidewater.llm.common import Scratch, column_of
 from tidewater.llm.repeats import Runs, anchors_of, keyed_documents, pieces, placed_runs, powers, removed_runs, spans_of, with_spans
 
 #: Bytes of an anchor; the shallow depth.
@@ -214,8 +214,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFra
     if not ANCHOR < length <= ANCHOR + 255:
         raise ValueError(f"a length between {ANCHOR + 1} and {ANCHOR + 255} is needed")
     keyed = keyed_documents(docs, id_col, text_col)
-    anchors = anchors_of(keyed, lambda texts: find_anchors(texts, length))
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    scratch = Scratch(docs.sparkSession, "repeats")
+    anchors = scratch.write(anchors_of(keyed, lambda texts: find_anchors(texts, length)), "anchors")
+    twice = scratch.write(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "twice")
     cut = lambda body: lambda start, n: body[start : start + n]
     return with_spans(keyed, anchors, twice, contexts_of=cut, same_contexts=same_strings, repeated=repeated_starts, length=length)
 

@@ -1,13 +1,16 @@
 """Removal of repeated windows of words, with a log-structured index of fingerprints.
 
-Batches of documents go through an index: the fingerprints of a batch's windows (its anchors of WIDTH words, see repeats.py) are
-merge-joined with the sorted runs of earlier batches and with themselves, added as a run, and runs are compacted level by level
-(see runs.py). Fingerprints that the index has twice point to windows that may repeat; those are verified word by word.
+Batches of documents go through an index: the fingerprints of a batch's windows (the anchors of WIDTH words that neighbouring windows
+have in common, see repeats.py) are merge-joined with the sorted runs of earlier batches, added as a run with the totals so far, and
+runs are compacted level by level (see runs.py). Fingerprints that thereby occur twice point to windows that may repeat; those are
+verified word by word. Kept by a path, the index serves batches of later days.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, column_of
+from tidewater.llm.common import Scratch, column_of, files
 from tidewater.llm.repeats import CHUNK, Runs, anchors_of, keyed_documents, pieces, placed_runs, removed_runs, spans_of, with_spans
 from tidewater.llm.runs import LevelledRuns
 from tidewater.llm.words import SPACES, word_hashes
@@ -101,40 +104,77 @@ def repeated_windows(contexts: list[bytes], anchor: np.ndarray, offset: np.ndarr
 
 
 class WindowIndex:
-    """The index over batches of keyed documents; `twice` names the fingerprints that occur twice so far."""
+    """Runs of fingerprints of windows, over batches of keyed documents: all batches of a call, and of earlier calls with one path.
 
-    def __init__(self, scratch: Scratch, length: int) -> None:
-        self.runs, self.length = LevelledRuns(scratch, ["anchor"]), length
+    Kept by a path, the index also has the documents and where their fingerprints are, so that a later batch's windows can be
+    verified word by word against them.
+    """
 
-    def anchors(self, keyed: DataFrame) -> DataFrame:
-        length = self.length
-        return anchors_of(keyed, lambda texts: find_windows(texts, length))
+    def __init__(self, scratch: Scratch, length: int, path: str | None) -> None:
+        self.scratch, self.length, self.path = scratch, length, path
+        self.spark = scratch.spark
+        self.runs = LevelledRuns(self.spark, f"{path}/runs-{length}" if path else f"{scratch.root}/runs", ["anchor"])
+
+    def _history(self, name: str) -> DataFrame | None:
+        there = files(self.spark, f"{self.path}/{name}-{self.length}") if self.path else None
+        days = sorted(d for d in there.folders() if there.exists(f"{d}/_SUCCESS")) if there else []
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/{name}-{self.length}/{d}") for d in days]) if days else None
 
-    def add(self, keyed: DataFrame) -> None:
-        self.runs.add(self.anchors(keyed).select("anchor"))
+    def keep(self, df: DataFrame, name: str, day: str) -> None:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}-{self.length}/{day}")
 
-    def twice(self) -> DataFrame:
-        return self.runs.at_least(2)
+    def matched(self, keyed: DataFrame, batches: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(documents, anchors, twice) of a call's keyed documents and of the earlier ones that share a fingerprint with them.
+
+        twice: the fingerprints that occur twice or more up to the last batch that has them, which the merge-joins tell. Documents of
+        earlier calls are marked as `old`.
+        """
+        length = self.length
+        batch = F.pmod(F.xxhash64("k1"), F.lit(batches)).cast("int")
+        anchors = self.scratch.write(anchors_of(keyed, lambda texts: find_windows(texts, length)).withColumn("batch", batch), "anchors", partition_by="batch")
+        found = []
+        for k in range(batches):
+            counts = anchors.where(F.col("batch") == k).groupBy("anchor").agg(F.count("*").alias("n"))
+            run = self.runs.add(counts)
+            found.append(self.scratch.write(run.where("total > 1"), f"again-{k}"))
+            self.runs.compact()
+        twice = reduce(DataFrame.unionByName, found).groupBy("anchor").agg(F.max("total").alias("n"))
+        twice = self.scratch.write(twice, "twice")
+        self.scratch.drop_but("anchors", "twice")
+        if not self.path:
+            self.scratch.drop("runs")
+            return keyed, anchors.drop("batch"), twice
+        docs = keyed.withColumn("old", F.lit(False))
+        anchors, earlier, texts = anchors.drop("batch"), self._history("anchors"), self._history("texts")
+        if earlier is not None:
+            shared = self.scratch.write(earlier.join(twice.select("anchor").hint("merge"), "anchor", "left_semi"), "earlier")
+            needed = shared.select("k1", "k2").distinct()
+            rows = keyed.schema["row"].dataType
+            old = texts.join(needed, ["k1", "k2"], "left_semi").select("k1", "k2", "body", F.lit(None).cast(rows).alias("row"), F.lit(True).alias("old"))
+            docs, anchors = docs.unionByName(old), anchors.unionByName(shared)
+        day = uuid.uuid4().hex
+        self.keep(keyed.select("k1", "k2", "body"), "texts", day)
+        self.keep(self.scratch.read("anchors").drop("batch"), "anchors", day)
+        return docs, anchors, twice
 
 
 def drop_windows(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, batches: int = 4, scratch: Scratch | None = None
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, batches: int = 4, index: str | None = None, scratch: Scratch | None = None
 ) -> DataFrame:
     """(row, n_words, n_removed, kept_text) of each document, without the words of windows that start elsewhere too.
 
     Words are runs of other bytes than ASCII white space, windows are `length` of them, judged on the input; the kept words are
     joined by one space. row is a struct of the other columns of the input row. A null text has no words. Each row is a document,
     even if ids are null or repeated: a repeated row repeats all its windows. An empty table gives no rows.
+
+    With `index`, a folder, windows that documents of earlier calls had go too, and the documents are kept there for later calls.
     """
     if not WIDTH < length <= WIDTH + 255:
         raise ValueError(f"a length between {WIDTH + 1} and {WIDTH + 255} is needed")
-    keyed = keyed_documents(docs, id_col, text_col)
-    index = WindowIndex(scratch or Scratch(docs.sparkSession, "windows"), length)
-    for k in range(batches):
-        index.add(keyed.where(F.pmod(F.xxhash64("k1"), F.lit(batches)) == k))
-    joined = with_spans(
-        keyed, index.anchors(keyed), index.twice(), contexts_of=cut_words, same_contexts=same_texts, repeated=repeated_windows, length=length
-    )
+    scratch = scratch or Scratch(docs.sparkSession, "windows")
+    every, anchors, twice = WindowIndex(scratch, length, index).matched(keyed_documents(docs, id_col, text_col), batches)
+    joined = with_spans(every, anchors, twice, contexts_of=cut_words, same_contexts=same_texts, repeated=repeated_windows, length=length)
+    joined = joined.where(~F.col("old")) if index else joined
 
     def run(batches_: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for bodies, spans_ in batches_:
