@@ -50,6 +50,40 @@ def test_later_models_use_earlier_probabilities():
     assert ((chain.predict(rows)[:, 1] > chain.threshold) == first).mean() > 0.99
 
 
+def newton_brute(x, y):
+    """Penalised logistic regression with the last column as the bias, by dense Newton steps to the end."""
+    penalty = np.append(np.ones(x.shape[1] - 1), 1e-6)
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T * (p * (1 - p)) @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+    return w
+
+
+def test_chain_like_brute_force(spark):
+    """Models, probabilities and decisions against dense Newton steps and plain sums, on all rows."""
+    rows = corpus(5, 260)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows if r[0] < 200], "doc_id long, toxic int")
+    chain = train_on(docs, labels, label_categories(labels, docs))
+    texts = [np.unique(features([r[1]])[0]) for r in rows]
+    dense = np.array([np.isin(chain.known, t) for t in texts], float)
+    earlier = np.zeros((len(rows), 0))
+    for model in chain.models:
+        score_ = [sum(w for w, x in zip(model.weight, row) if x) + float(np.dot(model.extra, e)) + model.bias for row, e in zip(dense, earlier)]
+        earlier = np.column_stack([earlier, 1 / (1 + np.exp(-np.array(score_)))])
+    found = {r["row"]["doc_id"]: r["probabilities"] for r in score(docs, chain).collect()}
+    assert np.allclose([found[r[0]] for r in rows], earlier, atol=1e-9)
+    assert {r["doc_id"]: r["toxic"] for r in toxicity(docs, chain).collect()} == {r[0]: p >= chain.threshold for r, p in zip(rows, earlier[:, -1])}
+
+    rng = np.random.default_rng(4)
+    x, before = (rng.random((120, 30)) < 0.2).astype(float), rng.random((120, 2))
+    y = (x[:, 3] + x[:, 7] + before[:, 1] + 0.5 * rng.normal(size=120) > 1).astype(float)
+    model = fit(Rows(*np.nonzero(x), x.shape), before, y)
+    exact = newton_brute(np.column_stack([x, before, np.ones(120)]), y)
+    assert np.allclose([*model.weight, *model.extra, model.bias], exact, atol=1e-3)
+
+
 def test_fit_of_one_class():
     rows = Rows(np.zeros(0, int), np.zeros(0, int), (3, 0))
     assert (fit(rows, np.zeros((3, 0)), np.zeros(3)).predict(rows, np.zeros((3, 0))) < 1e-6).all()

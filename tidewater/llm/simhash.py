@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import Scratch, mapped, partitions_for, row_key, slices, text_of
@@ -28,6 +28,8 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 GENERATOR = 0b101011100011
 #: Buckets beyond this many fingerprints are cut up by their remaining bits before distances are measured.
 LARGE = 2048
+#: Where windows of 12 bits begin: of those that are apart from each other, and the last four bits, five errors leave one equal.
+WINDOWS = range(0, 64, 4)
 
 
 # -- fingerprints -----------------------------------------------------------------------------------------------------
@@ -176,12 +178,11 @@ def _small_groups(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarra
 def _large_group(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within one large bucket that connect what all its links connect.
 
-    Five windows of 12 bits apart from each other, and the last four bits, can't all hold one of five errors, so one is equal:
-    groups by each window of 12 bits find every link. Groups that stay large are compared in blocks; a fingerprint's
-    links beyond its first in a block are implied by those that the block's members have among themselves.
+    Groups by each window of 12 bits find every link (see WINDOWS). Groups that stay large are compared in blocks; a
+    fingerprint's links beyond its first in a block are implied by those that the block's members have among themselves.
     """
     left, right = [], []
-    for shift in range(0, 64, 4):
+    for shift in WINDOWS:
         part = fp >> np.uint64(shift) & np.uint64(0xFFF)
         order = np.argsort(part, kind="stable")
         part, some = part[order], fp[order]
@@ -221,9 +222,13 @@ def _blocks(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return fp[left], fp[right]
 
 
-def links(distinct: DataFrame, distance: int, parts: int) -> DataFrame:
+def links(distinct: DataFrame, distance: int, parts: int, scratch: Scratch | None = None) -> DataFrame:
     """(a, b) fingerprints (column fp, distinct): they connect the same ones as all pairs at most `distance` bits apart would.
+
+    Buckets of more than LARGE fingerprints are dealt out by the windows of WINDOWS too, one of which is equal for every pair to be
+    linked, so that a task gets a part of such a bucket.
     """
+    scratch = scratch or Scratch(distinct.sparkSession, "links")
     if not 0 <= distance <= 5:
         raise ValueError("the keys are made for distances of five bits at most")
 
@@ -262,8 +267,16 @@ def links(distinct: DataFrame, distance: int, parts: int) -> DataFrame:
         if held_key:
             yield from out(np.concatenate(held_key), np.concatenate(held_fp))
 
-    buckets = distinct.select("fp").transform(mapped, keyed, "key long, fp long").repartition(parts, "key").sortWithinPartitions("key")
-    return buckets.transform(mapped, compared, "a long, b long").distinct()
+    def linked(buckets: DataFrame) -> DataFrame:
+        return buckets.repartition(parts, "key").sortWithinPartitions("key").transform(mapped, compared, "a long, b long")
+
+    buckets = scratch.write(distinct.select("fp").transform(mapped, keyed, "key long, fp long"), "buckets")
+    large = scratch.write(buckets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("key"), "large")
+    found = linked(buckets.join(large, "key", "left_anti"))
+    if not large.isEmpty():
+        windows = F.array(*[F.xxhash64("key", F.lit(s), F.shiftrightunsigned("fp", s).bitwiseAND(0xFFF)) for s in WINDOWS])
+        found = found.unionByName(linked(buckets.join(large, "key", "left_semi").select(F.explode(windows).alias("key"), "fp")))
+    return found.distinct()
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -272,7 +285,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, distanc
     # ids count before null ids, and of rows with one id the text's hash decides
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("least")
     distinct = every.groupBy("fp").agg(first)
-    roots = components(links(distinct.select("fp"), distance, partitions_for(docs.sparkSession)), scratch)
+    roots = components(links(distinct.select("fp"), distance, partitions_for(docs.sparkSession), scratch), scratch)
+    scratch.drop_but("fingerprints", "edges-")
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return every, named
 
@@ -310,6 +324,7 @@ def keep_one_of_each(
 def first_rows(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row) of the document of the least `least` of each root in `named`."""
     stay = named.groupBy("root").agg(F.min("least").alias("first")).select("first.k1", "first.k2")
-    whole = docs.select(*row_key(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    same = Window.partitionBy("k1", "k2").orderBy("k1")  # needs no exchange after the join
-    return whole.join(stay.hint("merge"), ["k1", "k2"]).withColumn("same", F.row_number().over(same)).where("same = 1").select("row")
+    whole = docs.select(*row_key(id_col, text_col), F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"))
+    # rows with one id and text, of which there may be very many, become one before they are dealt out
+    once = whole.groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    return once.join(stay.hint("merge"), ["k1", "k2"]).select("row")

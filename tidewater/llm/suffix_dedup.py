@@ -81,22 +81,47 @@ class BlindTrie:
                 waiting += [(node[1][e], node[0] if e != edges[-1] else shared) for e in edges]
 
 
+def multikey_quicksort(symbols: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of `symbols` within ascending groups, and whether a row equals the one before in group and all symbols.
+
+    Each part has a pivot, the median of three of its rows at the part's depth, and falls into rows below it, equal to it, and above
+    it; the equal ones go on at the next symbol. All parts of a round are split at once.
+    """
+    n, depths = symbols.shape
+    order, tied = np.arange(n), np.zeros(n, bool)
+    rng = np.random.default_rng(n)
+    place, first, depth = np.arange(n), np.append(True, group[1:] != group[:-1])[:n], np.zeros(n, np.int64)
+    while True:
+        begin = np.flatnonzero(first)
+        size = np.diff(np.append(begin, place.size))
+        done = np.repeat(size, size) == 1
+        full = ~done & (depth == depths)
+        tied[place[full & ~first]] = True
+        going = ~done & ~full
+        if not going.any():
+            return order, tied
+        place, first, depth = place[going], first[going], depth[going]
+        begin = np.flatnonzero(first)
+        size = np.diff(np.append(begin, place.size))
+        part = np.cumsum(first) - 1
+        own = symbols[order[place], depth]
+        three = own[begin[:, None] + rng.integers(0, size[:, None], (size.size, 3))]
+        pivot = np.sort(three, axis=1)[:, 1][part]
+        side = 3 * part + (own > pivot) + (own >= pivot)
+        by = np.argsort(side, kind="stable")
+        order[place] = order[place[by]]
+        side = side[by]
+        depth = depth[by] + (side % 3 == 1)
+        first = np.append(True, side[1:] != side[:-1])
+
+
 def deep_shallow(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings within ascending groups, and each one's common prefix with the one before (-1: a new group)."""
     n = len(strings)
     lengths = np.fromiter(map(len, strings), np.int64, n)
     padded = b"".join([s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings])
     symbols = np.frombuffer(padded, ">u8").reshape(n, SHALLOW // 8).astype(np.uint64)
-    # shallow: by the first symbol, and by the next one only where that ties
-    order = np.lexsort((symbols[:, 0], group))
-    tied = np.zeros(n, bool)
-    tied[1:] = (group[order][1:] == group[order][:-1]) & (symbols[order, 0][1:] == symbols[order, 0][:-1])
-    for k in range(1, SHALLOW // 8):
-        block = np.cumsum(~tied) - 1
-        touched = np.flatnonzero(tied | np.append(tied[1:], False))
-        some = order[touched]
-        order[touched] = some[np.lexsort((symbols[some, k], block[touched]))]
-        tied[1:] &= symbols[order, k][1:] == symbols[order, k][:-1]
+    order, tied = multikey_quicksort(symbols, group)
     prefix = np.full(n, -1, np.int64)
     # deep: blind tries for what ties at the shallow depth
     bounds = np.flatnonzero(~tied)
