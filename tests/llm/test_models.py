@@ -147,6 +147,23 @@ def test_search_like_brute_force(spark):
     assert np.allclose([r[3] for r in found], [r[3] for r in expected])
 
 
+@pytest.mark.parametrize("relax, least", [(1.0, 1.0), (1.25, 0.9)])
+def test_search_of_many_cells_and_deep_trees(spark, relax, least):
+    """20,000 vectors in some 19 cells, shards with inner nodes, cells of several shards, and shards planted for parts of the queries."""
+    x = vectors(6, 20_000)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    found = nearest(df, df.where("vec_id % 100 = 0"), k=20, relax=relax, shard_rows=1500, cell_rows=1024, query_rows=30).toPandas()
+    y = x.astype(float)
+    products = y[::100] @ y.T
+    products[np.arange(200), np.arange(0, 20_000, 100)] = -np.inf
+    exact = np.argsort(-products, axis=1, kind="stable")[:, :20]
+    own = {q: g.sort_values("rank") for q, g in found.groupby("query_id")}
+    assert len(found) == 4000 and all(own[100 * q]["rank"].tolist() == list(range(1, 21)) for q in range(200))
+    recall = np.mean([len(set(own[100 * q]["vec_id"]) & set(exact[q].tolist())) / 20 for q in range(200)])
+    assert recall >= least
+    assert all(np.allclose(own[100 * q]["score"], [products[q, v] for v in own[100 * q]["vec_id"]]) for q in range(200))
+
+
 def test_vectors_that_take_no_part(spark):
     good = [1.0, 2.0]
     rows = [(0, good), (20, [2.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (6, [1.0]), (None, good), (7, good), (7, [3.0, 3.0]), (40, [])]
