@@ -13,14 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import column_of, mapped, slices, text_of
 from tidewater.llm.words import SIGNS, word_hashes
 
-#: Labelled rows that a chain is trained on at most, features of each category, and the bytes of a word's beginning.
-LABELLED, FEATURES, PREFIX = 10_000, 384, 5
+#: Labelled rows that a chain is trained on at most, the bytes of their texts at most, features of each category, and the bytes of a
+#: word's beginning.
+LABELLED, LABELLED_BYTES, FEATURES, PREFIX = 10_000, 96 << 20, 384, 5
 #: Folds, strength of the penalty, and texts that must have a feature.
 FOLDS, PENALTY, LEAST_TEXTS = 4, 1.0, 3
 
@@ -190,8 +191,9 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order[best]] + below) / 2, 0.05, 0.95))
 
 
-def train_on(docs: DataFrame, labelled: DataFrame, categories: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> Chain:
-    """A chain trained on at most `most` labelled rows, taken by the order of a hash of their ids.
+def train_on(docs: DataFrame, labelled: DataFrame, categories: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED, most_bytes: int = LABELLED_BYTES) -> Chain:
+    """A chain trained on at most `most` labelled rows, taken by the order of a hash of their ids, as far as their texts have
+    `most_bytes` together; features of these rows, at most twice as large, come to the driver.
 
     categories: for each category, in the chain's order, a condition on the columns of `labelled` (a table of ids and labels) and
     of `docs`; where it is null the label is 0. Equal texts count once, so that a text of many copies doesn't outweigh others. Ids without a
@@ -199,6 +201,9 @@ def train_on(docs: DataFrame, labelled: DataFrame, categories: dict[str, Column]
     """
     sample = labelled.where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(most)
     both = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(sample), id_col)  # `most` rows of ids and labels at most
+    sizes = both.groupBy(id_col).agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("bytes"))  # `most` rows at most
+    so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64(id_col), id_col).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.join(F.broadcast(sizes.select(id_col, so_far.alias("so_far")).where(F.col("so_far") <= most_bytes).select(id_col)), id_col, "left_semi")
     flags = F.array(*[F.coalesce(c.cast("int"), F.lit(0)) for c in categories.values()])
     given = both.select(F.xxhash64(text_col).alias("key"), flags.alias("flags"), F.col(text_col).cast("string").alias("text"))
 
