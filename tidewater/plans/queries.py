@@ -405,7 +405,7 @@ _SHARES = {"company_name": 0.04, "priority": 0.04, "category": 0.04, "agent_name
 
 @query(
     """WITH o AS (SELECT count(*) AS n FROM orders)
-SELECT n AS n_rows, (n * 0.005)::DOUBLE // 1 AS blanks, (n * 0.03)::DOUBLE // 1 AS repeats, n - (n * 0.005)::DOUBLE // 1 AS ids, 0::BIGINT AS bad_mails,
+SELECT n AS n_rows, floor(n * 0.005::DOUBLE) AS blanks, floor(n * 0.03::DOUBLE) AS repeats, n - floor(n * 0.005::DOUBLE) AS ids, 0::BIGINT AS bad_mails,
        0::BIGINT AS bad_metadata, 0::BIGINT AS bad_words, 0::BIGINT AS bad_dates, 0::BIGINT AS bad_costs, true AS shares FROM o"""
 )
 def generated_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,7 +442,7 @@ def clean_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH o AS (SELECT count(*) AS n FROM orders)
-SELECT n - ((n * 0.005)::DOUBLE // 1)::BIGINT AS n_rows, 0::BIGINT AS unread, 0::BIGINT AS without_hours, 0::BIGINT AS without_cost, true AS names_unified FROM o"""
+SELECT n - floor(n * 0.005::DOUBLE)::BIGINT AS n_rows, 0::BIGINT AS unread, 0::BIGINT AS without_hours, 0::BIGINT AS without_cost, true AS names_unified FROM o"""
 )
 def clean_generated_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds for cleansed synthetic tickets: no row but blank ones goes, dates are read, and gaps are filled."""
