@@ -91,3 +91,30 @@ def test_round_trip_of_odd_rows(spark, encoding):
     assert round_trip(df.limit(0), RANKS, P.PATTERN).count() == 0
     back = decode_documents(encode_documents(df, RANKS, P.PATTERN), RANKS, P.PATTERN)
     assert sorted(bytes(r["bytes"]) for r in back.collect()) == sorted((t or "").encode() for _, t in DOCS)
+
+
+def test_memory_is_bounded_and_forgets_whole():
+    from tidewater.llm.common import Memory
+
+    memory = Memory(10 * (Memory.ENTRY + 4))
+    for at in range(0, 40, 4):
+        wanted = {f"{k:04}" for k in range(at, at + 4)}
+        fresh = memory.missing(wanted)
+        memory.known.update((w, len(w)) for w in fresh)
+        assert wanted <= memory.known.keys() and len(memory.known) <= 10
+    assert memory.missing({"0036"}) == [] and memory.missing({"0000"}) == ["0000"]
+    assert sorted(memory.missing({f"{k:04}" for k in range(100, 130)})) == [f"{k:04}" for k in range(100, 130)]  # more than there is room for
+
+
+def test_scratch_tables_go_when_released(spark):
+    from tidewater.llm.common import Scratch, files, release
+
+    kept, gone = Scratch(spark, "kept"), Scratch(spark, "gone")
+    for scratch in (kept, gone):
+        assert scratch.write(spark.range(3).toDF("id"), "a").count() == 3
+        scratch.write(spark.range(3).toDF("id"), "b")
+    kept.drop_but("a")
+    others = tuple(r for r in Scratch.folders[spark.sparkContext.applicationId] if r != gone.root)
+    release(spark, but=others)
+    assert files(spark, kept.root).folders() == ["a"] and files(spark, gone.root).folders() == []
+    assert gone.root not in Scratch.folders[spark.sparkContext.applicationId]
