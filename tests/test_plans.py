@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators.flatten import discover_paths
-from tidewater.operators.unify import canonical_names
+from tidewater.operators.unify import are_unified, canonical_names
 from tidewater.plans.tickets import run_pipeline, summary, write_outcome
 from tidewater.sources.synthetic import BLANKS, DUPLICATES, dirty_tickets
 from tidewater.sources.tables import TICKET_COLUMNS, read_csv, write_csv
@@ -75,3 +76,20 @@ def test_stream_matches_batch_stages(spark, tmp_path):
     valid, invalid = (spark.read.parquet(str(tmp_path / "out" / x)) for x in ("valid", "invalid"))
     assert valid.count() + invalid.count() == 199
     assert valid.where("cost IS NULL").count() == 0 and invalid.where(F.size("errors") == 0).count() == 0
+
+
+def test_names_left_may_be_many(spark, monkeypatch):
+    import tidewater.plans.queries as module
+
+    names = [chr(k) * 5 for k in (*range(97, 123), *range(945, 965))]  # no two are similar
+    tickets = dirty_tickets(spark, 400).where("ticket_id IS NOT NULL")
+    place = F.pmod(F.xxhash64("ticket_id"), F.lit(len(names))).cast("int")
+    own = tickets.withColumn("company_name", F.element_at(F.array(*map(F.lit, names)), place + 1))
+    monkeypatch.setattr(module, "generate_tickets", lambda *_: own)
+    assert own.select("company_name").distinct().count() > 40
+    assert module.clean_generated_profile(spark, "").first()["names_unified"]
+
+
+@pytest.mark.parametrize("pairs, good", [([("Acme Tools", "Acme Tools"), ("ACME TOOLS", "Acme Tools"), ("-", "-"), (None, None)], True), ([("Acme Tools", "Zebra")], False), ([("Acme Tools", "Acme Tools"), ("ACME TOOLS", "ACME TOOLS")], False), ([("Acme", None)], False)])
+def test_unified_names(spark, pairs, good):
+    assert are_unified(spark.createDataFrame(pairs, "given string, name string")) == good

@@ -88,3 +88,15 @@ def unify_names(df: DataFrame, column: str, threshold: float = 80, block: int =
     joined = given.join(names, F.col(stripped) == F.col(name), "left")
     unified = F.coalesce(leader, stripped).alias(column)
     return joined.select(*[unified if c == column else named(c) for c in df.columns])
+
+
+def are_unified(names: DataFrame, threshold: float = 80) -> bool:
+    """Whether, of (given, name), each given name is at least so similar to its group's name, or is it, and no two of the latter are."""
+    from tidewater.functions.similarity import similarity
+
+    pairs = checkpointed(names.where("given IS NOT NULL").distinct())
+    score = F.udf(lambda a, b: similarity(a, b), "double")
+    if not pairs.where("name IS NULL").isEmpty() or not pairs.where("given <> name").where(score("given", "name") < threshold).isEmpty():
+        return False
+    left = checkpointed(pairs.select(F.col("name").alias("rank"), "name").distinct())
+    return similar_pairs(left, threshold, max(1, -(-left.count() // BLOCK))).isEmpty()
