@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, release, tokenizer_path
+from tidewater.llm.common import Scratch, give_back, release, tokenizer_path
 from tidewater.llm.line_dedup import drop_shared_lines
 from tidewater.llm.packing import pack_documents
 from tidewater.llm.queries import toxicity_chain
@@ -36,6 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     chain = toxicity_chain(spark, source, sf_dir)
+    give_back()  # it was trained in the driver
     scored = score(docs, chain)
     return _as_documents(docs, scored.where(F.element_at("probabilities", -1) < chain.threshold))
 
@@ -51,7 +52,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: those that texts connect whose five-word shingles have a Jaccard
-    similarity of 0.8 or more. No fingerprint of 64 bits finds all of these, so this takes the shingles themselves.
+    similarity of 0.8 or more. SimHash fingerprints find candidates, which are verified; no fingerprint of 64 bits finds all such
+    pairs, so what they leave apart is searched for exactly by the shingles themselves.
 
     Null and blank texts have no shingles and are one group. Of a group the row with the smallest id stays, one with a null id only if
     there is no other; of equal rows one stays. An empty table stays empty.

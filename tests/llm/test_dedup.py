@@ -325,6 +325,44 @@ def test_pipeline_stage_goes_by_similarity_not_by_fingerprints(spark):
     assert stay == {10 * k for k in range(10)} | {10 * k + 1 for k in range(5, 10)}
 
 
+def test_fingerprints_connect_similar_texts_first(spark, monkeypatch):
+    import tidewater.llm.similar as module
+
+    def nothing(batches):
+        for _ in batches:
+            pass
+        yield from ()
+
+    words = [f"w{k}" for k in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:150], "new", *words[151:]])), (3, " ".join(reversed(words)))]
+    monkeypatch.setattr(module, "_met", nothing)  # the exact search for what fingerprints miss
+    assert {r["row"]["doc_id"] for r in keep_one_of_similar(frame(spark, rows)).collect()} == {1, 3}
+
+
+def test_edges_of_one_task_need_no_round(spark, monkeypatch):
+    names, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, *more: (names.append(name), write(self, df, name, *more))[1])
+    found = components(spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long"), Scratch(spark, "test"))
+    assert {(r["node"], r["root"]) for r in found.collect()} == {(k, 0) for k in range(301)} and found.count() == 301
+    assert names == ["edges-0"]
+
+
+def test_components_over_several_tasks(spark, monkeypatch):
+    import tidewater.llm.components as module
+
+    monkeypatch.setattr(module, "_oriented", lambda edges, own=module._oriented: own(edges).repartition(3))
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)]
+    nodes = sorted({n for e in edges if e[0] != e[1] for n in e})
+    linked = {frozenset(e) for e in edges}
+    roots = grouped(nodes, lambda a, b: frozenset((a, b)) in linked)
+    found = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()
+    least = {}
+    for n, r in zip(nodes, roots):
+        least[r] = min(n, least.get(r, n))
+    assert sorted((r["node"], r["root"]) for r in found) == [(n, least[r]) for n, r in zip(nodes, roots)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
     df = spark.createDataFrame(edges, "a long, b long")

@@ -123,16 +123,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         yield batch.slice(start), array.slice(start).to_pylist()
 
 
+def give_back() -> None:
+    """Freed memory of this process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _trim(run: Callable) -> Callable:
     """`run`, after which a worker gives freed memory back, since it may serve other stages."""
 
     @wraps(run)
     def trimmed(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return trimmed
 

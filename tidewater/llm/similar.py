@@ -1,10 +1,14 @@
 """Near-duplicates by the Jaccard similarity of word shingles, all of them: at least 4/5 of the shingles of both texts together.
 
+SimHash fingerprints come first: what is near by them and turns out to be similar is connected before anything else is compared. The
+links that fingerprints miss are found exactly:
+
 Sets of p and q shingles that are so similar differ in (p + q) / 9 shingles at most. Sizes fall into classes that grow by 5/4, so
 similar sets are in one class or in neighbouring ones, and each set goes by its own class and by the next. A class deals shingles by
 their hash to more parts than similar sets in it can differ in; so in some part both have the same ones. (class, part, the set's
 shingles in it) is a key that all similar sets have in common, and it is of their own class for one of them at least; a part of one shingle or none counts only for a set that has so
-many of them that it can be like another in nothing else. Sets that share a key are candidates; only those found similar are links.
+many of them that it can be like another in nothing else. Sets that share a key are candidates unless fingerprints connected them;
+only those found similar are links.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import Scratch, mapped, partitions_for, row_key, slices, text_of
 from tidewater.llm.components import components
 from tidewater.llm.line_dedup import LOWER, UPPER
-from tidewater.llm.simhash import first_rows, shingle_hashes
+from tidewater.llm.simhash import fingerprint, first_rows, links, shingle_hashes
 
 #: The largest size of each class.
 _TOPS = [4]
@@ -32,6 +36,8 @@ while _TOPS[-1] < 1 << 40:
 LARGE, BLOCK = 16, 2048
 #: Bits of a set's signature.
 SIGNED = 1024
+#: Words of the shingles that fingerprints are made of, and bits by which fingerprints of candidates differ at most.
+MARK_WORDS, MARK_BITS = 2, 5
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -87,44 +93,49 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, key) of rows sorted by key, next and node: the pairs of a bucket that aren't of the next class both, without key; of a
-    large one its first set with each one, with key. A bucket that is of the next class for all its sets has nothing new. A bucket of
-    any size goes by in pieces; only its first LARGE sets are kept until it turns out to be large."""
+    """(a, b, key, root) of rows sorted by key, next, node and root: the pairs of a bucket that aren't of the next class both nor of one
+    root, without key and root; of a large one each set b with its root and the bucket's first set, or with itself if that has the same
+    root. A bucket that is of the next class for all its sets has nothing new. A bucket of any size goes by in pieces; only its first
+    LARGE sets are kept until it turns out to be large."""
 
     def held(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole buckets of LARGE sets at most."""
-        key, following, node = rows
+        key, following, node, root = rows
         left, right = [node[:0]], [node[:0]]
         for step in range(1, LARGE):
-            at = np.flatnonzero((key[:-step] == key[step:]) & (following[:-step] == 0))
+            at = np.flatnonzero((key[:-step] == key[step:]) & (following[:-step] == 0) & (root[:-step] != root[step:]))
             left.append(node[at])
             right.append(node[at + step])
         a, b = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(a.size, pa.int64())], names=["a", "b", "key"])
+        none = pa.nulls(a.size, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], names=["a", "b", "key", "root"])
 
-    def starred(first: int, node: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(node.size, first)), pa.array(node), pa.array(key)], names=["a", "b", "key"])
+    def starred(first: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        key, _, node, root = rows
+        a = np.where(root == first[3], node, first[2])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, node, key, root)], names=["a", "b", "key", "root"])
 
-    waiting, star = np.empty((3, 0), np.int64), None  # star: key, first set (None: nothing new) and last set of a large bucket that may go on
+    waiting, star = np.empty((4, 0), np.int64), None  # star: first and last row of a large bucket that may go on
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "next", "node")])
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "next", "node", "root")])
         if star is not None:
-            end = int(np.searchsorted(rows[0], star[0], "right"))
-            own = rows[2, :end]
-            own = own[np.append(own[:1] != star[2], own[1:] != own[:-1])]
-            if star[1] is not None:
-                yield starred(star[1], own, np.full(own.size, star[0]))
+            first, last = star
+            end = int(np.searchsorted(rows[0], first[0], "right"))
+            own = rows[:, :end]
+            own = own[:, np.append(own[2, :1] != last[2], own[2, 1:] != own[2, :-1])]
+            if not first[1]:  # else nothing new
+                yield starred(first, own)
             rows = rows[:, end:]
             if not rows.shape[1]:
-                if own.size:
-                    star = (star[0], star[1], int(own[-1]))
+                if own.shape[1]:
+                    star = (first, own[:, -1])
                 continue
             star = None
         rows = np.concatenate([waiting, rows], axis=1)
         rows = rows[:, np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))]  # copies in several tasks
-        key, following, node = rows
+        key, following = rows[:2]
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(begin, key.size))
         open_ = np.repeat(size <= LARGE, size)
@@ -135,10 +146,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if small.any():
             yield from held(rows[:, small])
         for k in np.flatnonzero((size > LARGE) & (following[begin] == 0)):
-            own = slice(begin[k], begin[k] + size[k])
-            yield starred(int(node[begin[k]]), node[own], key[own])
+            yield starred(rows[:, begin[k]], rows[:, begin[k] : begin[k] + size[k]])
         if not open_[-1]:
-            star = (int(key[-1]), None if following[last] else int(node[last]), int(node[-1]))
+            star = (rows[:, last], rows[:, -1])
     if waiting.shape[1]:
         yield from held(waiting)
 
@@ -213,6 +223,28 @@ def node_of(text: Column) -> Column:
     return F.xxhash64(F.btrim(F.regexp_replace(F.translate(text, UPPER, LOWER), r"[ \t\n\x0B\f\r]+", " ")))
 
 
+def near_marks(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
+    """(a, b) nodes whose SimHash fingerprints are equal or differ in MARK_BITS bits at most: they connect the same as all such pairs."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            found = np.array([fingerprint(t, MARK_WORDS) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["node", "fp"])
+
+    text, buckets = text_of(text_col), Scratch(docs.sparkSession, "marks")
+    found = docs.select(node_of(text).alias("node"), text.alias("text")).transform(mapped, marked, "node long, fp long")
+    marks = buckets.write(found.distinct(), "marks")
+    firsts = buckets.write(marks.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    equal = marks.join(firsts, "fp").where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(firsts.select("fp"), MARK_BITS, partitions_for(docs.sparkSession), buckets)
+    for end in ("a", "b"):
+        near = near.join(firsts.select(F.col("fp").alias(end), F.col("first").alias(f"node_{end}")), end)
+    near = near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    near = scratch.write(equal.unionByName(near).distinct(), "near")
+    buckets.drop_but()
+    return near
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(a, b) nodes with similar sets of shingles: they connect what all such pairs would. nodes: (node, least), a row for each text,
     and the row key of a document in `least`."""
@@ -222,13 +254,14 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, te
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part, texts in slices(batches, "text"):
-            for node, one in zip(part.column(0).to_pylist(), texts):
+            for node, root, one in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
                 if node not in seen:
                     seen.add(node)
                     keys, following = set_keys(shingles(one, words))
                     for at in range(0, keys.size, 200_000):
                         some = keys[at : at + 200_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(following[at : at + 200_000]), pa.array(np.full(some.size, node))], names=["key", "next", "node"])
+                        own = [pa.array(some), pa.array(following[at : at + 200_000]), pa.array(np.full(some.size, node)), pa.array(np.full(some.size, root))]
+                        yield pa.RecordBatch.from_arrays(own, names=["key", "next", "node", "root"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
@@ -236,26 +269,36 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, te
             size, signed = pa.array([x.size for x in own], pa.int64()), pa.array([signature(x) for x in own], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), size, signed, pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "size", "signed", "own"])
 
-    buckets = docs.select(node_of(text).alias("node"), text.alias("text")).transform(mapped, _gathered(keyed), "key long, next tinyint, node long")
-    met = scratch.write(buckets.repartition(parts, "key").sortWithinPartitions("key", "next", "node").transform(mapped, _met, "a long, b long, key long"), "met")
+    def sets_of(needed: DataFrame, name: str) -> DataFrame:
+        rows = needed.join(nodes.select("node", "least.k1", "least.k2"), "node")
+        texts = docs.select(*row_key(id_col, text_col), text.alias("text")).join(rows, ["k1", "k2"]).select("node", "text")
+        found = texts.transform(mapped, whole, "node long, size long, signed binary, own binary")
+        return scratch.write(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "signed", "own")]), name)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+    near = near_marks(docs, text_col, scratch)
+    first_sets = sets_of(ends(near), "sets-near")
+    by_marks = scratch.write(_verified(near, first_sets), "links-near")
+    roots = components(by_marks, Scratch(docs.sparkSession, "similar"))
+
+    rooted = docs.select(node_of(text).alias("node"), text.alias("text")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "text")
+    buckets = rooted.transform(mapped, _gathered(keyed), "key long, next tinyint, node long, root long")
+    order = ["key", "next", "node"]
+    met = scratch.write(buckets.repartition(parts, "key").sortWithinPartitions(*order).transform(mapped, _met, "a long, b long, key long, root long"), "met")
     pairs = scratch.write(met.where("a <> b").select("a", "b").distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    rows = needed.join(nodes.select("node", "least.k1", "least.k2"), "node")
-    texts = docs.select(*row_key(id_col, text_col), text.alias("text")).join(rows, ["k1", "k2"]).select("node", "text")
-    found = texts.transform(mapped, whole, "node long, size long, signed binary, own binary")
-    sets = scratch.write(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "signed", "own")]), "sets")
-    links = scratch.write(_verified(pairs, sets), "links")
-    large = met.where("key IS NOT NULL").select("key", F.col("b").alias("node"))
+    large = scratch.write(_apart(met.where("key IS NOT NULL").select("key", F.col("b").alias("node"), "root")).select("key", "node"), "large")
+    needed = ends(pairs).union(large.select("node")).distinct()
+    sets = first_sets.unionByName(sets_of(needed.join(first_sets, "node", "left_anti"), "sets"))
+    found = by_marks.unionByName(scratch.write(_verified(pairs, sets), "links"))
     if large.isEmpty():
-        return links
-    large = scratch.write(large, "large")
+        return found
     for forest in (True, False):  # after the forests, few pairs are left that aren't connected
-        roots = components(links, Scratch(docs.sparkSession, "similar"))
-        known = large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        apart = known.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most")
-        blocks = apart.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        # buckets that are of one root stay so, and the next round has no need of them
-        known = scratch.write(known.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), f"apart-{forest}")
+        roots = components(found, Scratch(docs.sparkSession, "similar"))
+        known = _apart(large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+        known = known.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+        known = scratch.write(known.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), f"apart-{forest}")
         large = known.select("key", "node")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         dealt = known.select("key", "node", "root", "block", other).join(sets.select("node", "size", "signed"), "node")
@@ -263,8 +306,14 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, te
         dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "size", "signed")
         more = dealt.repartition(parts, *where).sortWithinPartitions(*where, "node").transform(mapped, partial(_across, forest=forest), "a long, b long").distinct()
         more = scratch.write(_verified(scratch.write(more, f"more-{forest}"), sets), f"links-{forest}")
-        links = links.unionByName(more)
-    return links
+        found = found.unionByName(more)
+    return found
+
+
+def _apart(known: DataFrame) -> DataFrame:
+    """Rows (key, node, root) of the keys that have several roots, with how many rows a key has; buckets of one root stay so."""
+    several = known.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most")
+    return known.join(several.select("key", "n"), "key")
 
 
 def _gathered(run):
